@@ -83,21 +83,21 @@ class _Search:
         else:
             self.node.value, self.node.tie = edge, 0
 
-    def take(self, bins: dict[int, int], tolerance: float) -> None:
-        """Use a pass: cut if the border is exact enough, else go on inside the bin that holds the target."""
-        width = self.width()
+    def take(self, bins: dict[int, tuple[int, int, int]], tolerance: float) -> None:
+        """Use a pass (bytes, least and greatest coordinate by bin): cut if the border is exact enough, else go on
+        inside the bin that holds the target, over the coordinates that it really has."""
         for b in sorted(bins):
-            if self.below + bins[b] >= self.target:
+            mass, low, high = bins[b]
+            if self.below + mass >= self.target:
                 break
-            self.below += bins[b]
+            self.below += mass
         else:  # the target lies at the end of the range
             self.cut(self.high + 1)
             return
-        low = self.low + b * width
-        if bins[b] <= tolerance or (width == 1 and self.on_tie):
-            self.cut(low + width if self.target - self.below > bins[b] / 2 else low)
-        elif width > 1:
-            self.low, self.high = low, min(self.high, low + width - 1)
+        if mass <= tolerance or (low == high and self.on_tie):
+            self.cut(high + 1 if self.target - self.below > mass / 2 else low)
+        elif low < high:
+            self.low, self.high = low, high
         else:  # many rows share the coordinate
             self.node.value, self.on_tie, self.low, self.high = low, True, 0, _TIE_TOP
 
@@ -109,7 +109,7 @@ def _histogram(leaves: DataFrame, searches: str) -> DataFrame:
     rows = leaves.join(F.broadcast(passed), "leaf").withColumn("own", F.element_at(F.array(*DIMENSIONS), F.col("dimension")))
     rows = rows.withColumn("at", F.when(~F.col("on_tie"), F.col("own")).when(F.col("own") == F.col("value"), F.col(TIE)))
     rows = rows.filter(F.col("at").between(F.col("low"), F.col("high"))).withColumn("bin", F.expr("(at - low) div width"))
-    return rows.groupBy("leaf", "bin").agg(F.sum("size").alias("bytes"))
+    return rows.groupBy("leaf", "bin").agg(F.sum("size").alias("bytes"), F.min("at").alias("least"), F.max("at").alias("most"))
 
 
 def build_tree(points: DataFrame, shards: int) -> Node:
@@ -136,7 +136,7 @@ def build_tree(points: DataFrame, shards: int) -> Node:
         while active := [x for x in searches if not x.done]:
             counted = _histogram(leaves, ", ".join(x.row() for x in active)).collect()
             for x in active:
-                x.take({r["bin"]: r["bytes"] for r in counted if r["leaf"] == x.node.first}, tolerance)
+                x.take({r["bin"]: (r["bytes"], r["least"], r["most"]) for r in counted if r["leaf"] == x.node.first}, tolerance)
         for node in nodes:
             left = node.leaves // 2
             node.children = [Node(node.first, left), Node(node.first + left, node.leaves - left)]
