@@ -83,6 +83,12 @@ class PairTable:
             self.keys[slot[first]], self.values[slot[first]] = key[first], value[first]
             key, value, slot = key[~first], value[~first], (slot[~first] + 1) & ((1 << self.bits) - 1)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> PairTable:
+        made = cls.__new__(cls)
+        made.keys, made.values, made.bits = keys, values, len(keys).bit_length() - 1
+        return made
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.view(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -159,11 +165,19 @@ class Memory:
 class Encoder:
     """Encodes and decodes with one vocabulary."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens, self.pattern, self.pairs = tokens, pattern, PairTable(tokens)
+    def __init__(self, tokens: list[bytes], pattern: str, pairs: PairTable | None = None):
+        self.tokens, self.pattern, self.pairs = tokens, pattern, pairs or PairTable(tokens)
+
+    def parts(self) -> dict:
+        """Plain values that an executor makes the encoder from."""
+        return {"tokens": self.tokens, "pattern": self.pattern, "keys": self.pairs.keys, "values": self.pairs.values}
 
-    def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("tokens", "pattern", "pairs")}
+    @classmethod
+    def on_worker(cls, parts: dict) -> Encoder:
+        """The worker's encoder: made once for the ``parts`` that were broadcast and kept with them, with its memory."""
+        if "encoder" not in parts:
+            parts["encoder"] = cls(parts["tokens"], parts["pattern"], PairTable.of(parts["keys"], parts["values"]))
+        return parts["encoder"]
 
     @cached_property
     def rank(self) -> dict[bytes, int]:
@@ -288,10 +302,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
     ordinary text). NULL and empty texts have no ids. Repeated rows are encoded each; an empty table gives an empty
     result. Other columns are not read. Returns doc_id, ids, decoded.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(read_ranks(ranks_path), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(read_ranks(ranks_path), pattern).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        encoder = Encoder.on_worker(shared.value)
         for batch in batches:
             texts, keys, at = batch.column(1).to_pylist(), batch.column(0), 0
             while at < len(texts):
