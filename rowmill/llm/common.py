@@ -43,14 +43,14 @@ def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, to
 
     Groups with ``size >= HOT_SHARE * total`` are broadcast: sizes sum to at most ``total``, so there are at most
     ``1 / HOT_SHARE`` of them. Rows that they match get a spread key, so the shuffled join of the rest never meets a
-    hot key. ``size`` is the number of rows with the key.
+    hot key; nor do rows without a key, which match nothing. ``size`` is the number of rows with the key.
     """
     least = max(1, int(total * HOT_SHARE))
     value = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) >= least).select(F.col(key).alias("_hot_key"), *(F.col(c).alias(f"_hot_{c}") for c in value))
     cold = groups.filter(F.col(size) < least).select(F.col(key).alias("_cold_key"), *(F.col(c).alias(f"_cold_{c}") for c in value))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    out = out.withColumn("_key", F.when(F.col("_hot_key").isNotNull(), F.concat(F.lit("#"), spread.cast("string"))).otherwise(F.col(key).cast("string")))
+    out = out.withColumn("_key", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), F.concat(F.lit("#"), F.coalesce(spread, F.lit(0)).cast("string"))).otherwise(F.col(key).cast("string")))
     out = out.join(cold.withColumn("_cold_key", F.col("_cold_key").cast("string")), F.col("_key") == F.col("_cold_key"), "left")
     return out.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in value))
 
@@ -61,3 +61,16 @@ def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     while blocks * per_block < rows:
         blocks *= 2
     return blocks
+
+
+#: Lists of rows up to this length are broadcast; longer ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (NULL equals NULL) aren't among ``dropped``. A list of ids is broadcast if it
+    is short by count, else both sides are shuffled."""
+    dropped = scratch(dropped.select(*(F.col(k).alias(f"_drop_{k}") for k in keys)).distinct())
+    few = dropped.count() <= BROADCAST_ROWS
+    on = [docs[k].eqNullSafe(dropped[f"_drop_{k}"]) for k in keys]
+    return docs.join(F.broadcast(dropped) if few else dropped, on, "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import SPACES, blocks_for, left_join_groups, scratch
+from rowmill.llm.common import BROADCAST_ROWS, SPACES, blocks_for, left_join_groups, scratch, without
 from rowmill.session import table
 
 FINGERPRINT_BITS = 60
@@ -32,8 +32,6 @@ FINGERPRINT_BITS = 60
 FILTER_ROWS = 1 << 20
 #: Distinct fingerprints that a block of quotients is meant for.
 BLOCK_ROWS = 1 << 17
-#: Fingerprint lists up to this length (8 MB) are broadcast; longer ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
 
 
 class CountingQuotientFilter:
@@ -168,6 +166,17 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ).drop("row")
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with its columns."""
+    found = scratch(exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "), 256))
+    one = found.groupBy("_id", "_sha").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    out = without(rows, one.filter("not kept"), "_id", "_sha")
+    if not one.filter("kept and n > 1").isEmpty():  # repeated rows, id and all
+        out = out.dropDuplicates(["_id", "_sha"])
+    return out.drop("_id", "_sha")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

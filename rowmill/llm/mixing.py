@@ -76,5 +76,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     )
 
 
+def repeat_documents(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix has them: each row as often as it is taken, the one on a source's border once more if at
+    least half of it is. Rows that aren't taken go; so do those of size 0, which the mix takes no words of."""
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), times.alias("_times")).filter("_times > 0")
+    plan = plan.groupBy("_id").agg(F.max("_times").alias("_times"))
+    kept = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
