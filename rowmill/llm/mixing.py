@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from rowmill.llm.common import WORD, blocks_for, scratch
 from rowmill.session import table
 
-#: Documents that a bucket of one source is meant for.
-BUCKET_ROWS = 1 << 16
+#: Documents that a bucket is meant for, and the fewest buckets of a source.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 14, 16
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = scratch(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("missing"), size.alias("size")))
-    buckets = blocks_for(rows.count(), BUCKET_ROWS)
+    buckets = blocks_for(rows.count(), BUCKET_ROWS, LEAST_BUCKETS)
     rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(buckets)))
 
     sums = scratch(rows.groupBy("name", "missing", "bucket").agg(F.sum("size").alias("bucket_size")))
