@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rowmill.session import table
 
-MAX_PER_LABEL = 3_000
+MAX_PER_LABEL = 2_000
 MAX_TRAIN_BYTES = 32_768
 MAX_INDICATORS = 4_096
 SEED = 41
