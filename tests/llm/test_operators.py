@@ -364,3 +364,61 @@ def test_pipeline_runs_all_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_copies", "near_copies", "source_mix", "token_ids"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, tokenizer):
+    """Each stage against plain Python over its own whole input; copies and near copies are planted beside the table."""
+    import corpus_pipeline
+
+    root = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    given = spark.read.parquet(f"{root}/documents.parquet")
+    rng = random.Random(9)
+    planted = [r for r in given.orderBy("doc_id").limit(40).collect() if len(WORD.findall(r.text)) > 60]
+    more = []
+    for i, r in enumerate(planted):
+        words = r.text.split(" ")
+        words[rng.randrange(len(words))] = "planted"
+        more += [(10**6 + 3 * i, "  ".join(r.text.split(" ")), r.lang, r.source, r.n_chars), (10**6 + 3 * i + 1, " ".join(words), r.lang, r.source, r.n_chars)]
+    more += [(2 * 10**6, None, None, None, None), (2 * 10**6 + 1, "", "en", None, 0), (2 * 10**6 + 2, " \t", "en", "own", 2)]
+    docs = given.unionByName(spark.createDataFrame(more, given.schema))
+
+    def held(df):
+        return {r.doc_id: r for r in df.collect()}
+
+    stages = dict(corpus_pipeline.STAGES)
+    before = held(docs)
+    model = toxicity.train(docs, labels)
+    clean = stages["toxicity"](spark, docs, root)
+    after = held(clean)
+    assert clean.columns == docs.columns and after == {i: r for i, r in before.items() if model.score(r.text or "", {}) < toxicity.THRESHOLD}
+
+    exact = stages["exact_copies"](spark, clean, root)
+    before, after, first = after, held(exact), {}
+    for i in sorted(before):
+        first.setdefault(normal(before[i].text), i)
+    assert len(first) < len(before) and exact.columns == docs.columns and after == {i: before[i] for i in first.values()}
+
+    near = stages["near_copies"](spark, exact, root)
+    before, after = after, held(near)
+    expected = {i for i, (_, c) in brute_components({i: r.text for i, r in before.items()}, 5, 80).items() if i == c}
+    assert len(expected) < len(before) and near.columns == docs.columns and after == {i: before[i] for i in expected}
+
+    mixed = stages["source_mix"](spark, near, root)
+    before, times, taken = after, defaultdict(int), defaultdict(int)
+    for r in mixed.collect():
+        assert r == before[r.doc_id]
+        times[r.doc_id] += 1
+        taken[r.source] += len(WORD.findall(r.text))
+    sizes, largest = defaultdict(int), defaultdict(int)
+    for r in before.values():
+        n = len(WORD.findall(r.text or ""))
+        sizes[r.source] += n
+        largest[r.source] = max(largest[r.source], n)
+    targets = fill(sizes, (5, 2, 1), 1.5, 2)
+    assert mixed.columns == docs.columns and max(times.values()) <= 2
+    for s in sizes:  # whole copies: off by half of the document on the border at most
+        assert abs(taken[s] - targets[s]) <= largest[s] / 2 + 1
+
+    ids = stages["token_ids"](spark, mixed, root).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids) for r in ids) == sorted((i, len(x), x) for i, n in times.items() for x in [tokenizer[1].encode_ordinary(before[i].text)] * n)
