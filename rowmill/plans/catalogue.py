@@ -35,6 +35,7 @@ CATALOGUE: dict[str, str] = {
     "agg_minmax_string_date": """SELECT l_returnflag, CAST(MIN(l_shipdate) AS DATE) AS first_ship, CAST(MAX(l_shipdate) AS DATE) AS last_ship, MIN(l_linestatus) AS mn, MAX(l_linestatus) AS mx FROM lineitem GROUP BY l_returnflag""",
     "agg_avg_int": """SELECT p_brand, ROUND(AVG(p_size), 6) AS avg_size FROM part GROUP BY p_brand""",
     "agg_avg_trunc": """SELECT p_brand, CAST(FLOOR(SUM(p_size) / COUNT(p_size)) AS BIGINT) AS avg_size FROM part GROUP BY p_brand""",
+    "agg_count_distinct": """SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, COUNT(l_suppkey) AS cnt FROM lineitem GROUP BY l_returnflag""",
     "agg_expr_over_aggs": """SELECT l_returnflag, ROUND(SUM(l_extendedprice) / SUM(l_quantity), 4) AS unit_price FROM lineitem GROUP BY l_returnflag""",
     "agg_having": """SELECT o_custkey, COUNT(*) AS cnt FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15 AND SUM(o_totalprice) > 1000""",
     "agg_having_groupkey": """SELECT n_regionkey, COUNT(*) AS cnt FROM nation GROUP BY n_regionkey HAVING n_regionkey > 2""",
@@ -47,6 +48,7 @@ CATALOGUE: dict[str, str] = {
     "top_k": """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""",
     "limit_zero": """SELECT r_name FROM region LIMIT 0""",
     "union_all": """SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region""",
+    "union_distinct": """SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region""",
     "union_all_order_limit": """SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region ORDER BY k DESC LIMIT 7""",
     "subquery_from": """SELECT q.nm, q.k FROM (SELECT n_name AS nm, n_regionkey + 1 AS k FROM nation) q WHERE q.k > 2""",
     "subquery_agg": """SELECT q.pri, q.cnt FROM (SELECT o_orderpriority AS pri, COUNT(*) AS cnt FROM orders GROUP BY o_orderpriority) q WHERE q.cnt > 3000""",
