@@ -23,10 +23,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.llm.common import bounded_batches, release_memory
 from rowmill.session import table
 
 #: Rank of what can't be merged.
@@ -36,9 +38,9 @@ LONG_PIECE = 256
 #: Cells of one matrix.
 MATRIX_CELLS = 1 << 19
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1 << 20
-#: Bytes of text in one output batch, so long as documents are shorter.
-BATCH_BYTES = 4 << 20
+REMEMBERED = 1 << 18
+#: Bytes of text encoded together, so long as documents are shorter.
+ENCODED_BYTES = 1 << 20
 
 # Of the characters up to U+024F without controls and rare spaces, those that are letters and numbers.
 LATIN = r"\t\n\r\x20-\x7e\xa1-\u024f"
@@ -307,20 +309,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.on_worker(shared.value)
         for batch in batches:
-            texts, keys, at = batch.column(1).to_pylist(), batch.column(0), 0
-            while at < len(texts):
+            keys, sizes, at = batch.column(0), pc.binary_length(batch.column(1)).to_pylist(), 0
+            while at < len(sizes):
                 stop, held = at, 0
-                while stop < len(texts) and held < BATCH_BYTES:
-                    held += len(texts[stop])
+                while stop < len(sizes) and held < ENCODED_BYTES:
+                    held += sizes[stop]
                     stop += 1
-                ids, counts = encoder.encode_batch(texts[at:stop])
+                ids, counts = encoder.encode_batch(batch.column(1).slice(at, stop - at).to_pylist())
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 decoded = [encoder.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([keys.slice(at, stop - at), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
                 at = stop
+        release_memory()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 

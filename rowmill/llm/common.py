@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,32 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that an Arrow batch of whole texts is meant for; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, to be read by Python in Arrow batches of about BATCH_BYTES; a larger setting of the session is lowered."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < parsed_bytes(conf.get(name)) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
+def parsed_bytes(said: str) -> int:
+    """Bytes of a setting like ``64MB``."""
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    said = said.strip().lower().removesuffix("b")
+    return int(said[:-1]) * units[said[-1]] if said[-1:] in units else int(said)
+
+
+def release_memory() -> None:
+    """Give what this Python worker has freed back to the system: workers outlive their tasks, idle ones too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
 
 def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
     """``rows`` left-joined with one row of ``groups`` a key, safe for keys with any share of the rows.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import blocks_for, left_join_groups, scratch, without
+from rowmill.llm.common import blocks_for, bounded_batches, left_join_groups, release_memory, scratch, without
 from rowmill.llm.components import components
 from rowmill.llm.shingles import Powers, mix, set_id, shingle_sets
 from rowmill.session import table
@@ -37,7 +37,7 @@ from rowmill.session import table
 #: Documents for each range of token hashes.
 RANGE_ROWS = 4096
 #: Tokens that a task holds before it sends them.
-HELD_TOKENS = 1 << 21
+HELD_TOKENS = 1 << 20
 #: Tokens in more classes than this are frequent: indexed in pairs.
 RARE = 24
 #: Classes of one chunk of a cluster.
@@ -46,7 +46,7 @@ CHUNK = 512
 DENSE = 12
 LOW = np.uint64((1 << 48) - 1)
 #: Classes and members that one task remembers to have sent.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 def _pack(classes: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -134,6 +134,8 @@ def _scan(docs: DataFrame, k: int, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names)
         if held:
             yield blobs()
+        sent.clear()
+        release_memory()
 
     # Rows of documents go through the exchange packed as well, dealt by a number of their task's batch.
     def pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,7 @@ def _scan(docs: DataFrame, k: int, ranges: int) -> DataFrame:
         none = pa.nulls(len(tokens), pa.int64())
         return pa.table({"doc_id": none, "n": none, "class": pa.array(classes), "token": pa.array(tokens), "frequency": pa.array(frequency.astype(np.int64)), "is_token": pa.array(np.ones(len(tokens), bool))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     packed = rows.mapInArrow(pack_documents, "part int, blob binary")
     return packed.groupBy("part").applyInArrow(reduce, "doc_id long, n long, class long, token long, frequency long, is_token boolean")
 

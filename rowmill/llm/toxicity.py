@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.llm.common import bounded_batches, release_memory
 from rowmill.session import table
 
 MAX_PER_LABEL = 2_000
@@ -37,7 +38,7 @@ COUNTERFACTUAL = 1.0
 PAIR_TEXTS, SWAPS = 500, 4
 THRESHOLD = 0.3
 #: Words that a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 # Identity terms by language.
 IDENTITY_TERMS = {
@@ -192,8 +193,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
         memory: dict[str, tuple[int, ...]] = {}
         for texts in parts:
             yield pd.Series([model.score(t, memory) for t in texts], dtype="float64")
+        memory.clear()
+        release_memory()
 
-    return docs.withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))
+    return bounded_batches(docs).withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
