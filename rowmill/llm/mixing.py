@@ -11,10 +11,10 @@ into buckets whose sums give every bucket its start, so no source, however large
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import WORD, blocks_for, scratch
+from rowmill.llm.common import BROADCAST_ROWS, WORD, blocks_for, scratch
 from rowmill.session import table
 
 #: Documents that a bucket is meant for, and the fewest buckets of a source.
@@ -46,29 +46,45 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     return rows.select("name", "missing", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 17, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """How many words of each document the mix takes; one row for each row of ``docs``.
+def _source(source: str) -> tuple[Column, Column]:
+    """Name of a row's source, and whether it is NULL."""
+    return F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("missing")
 
-    A NULL or empty text has size 0 and takes 0. NULL is a source of its own; a source of size 0 has target 0. Repeated
-    rows count as documents of their own; which of two equal rows stands on the border can't be told apart. A source's
-    taken words equal its target, rounded. An empty table gives an empty result. Other columns are not read.
 
-    Returns doc_id, source, size, source_size, target, taken. Built-in functions only.
-    """
+def _order(doc_id: Column, seed: int, buckets: int) -> tuple[Column, Column]:
+    """Bucket of a row and its place in the bucket's seeded order."""
+    return F.pmod(F.xxhash64(F.lit(seed + 1), doc_id), F.lit(buckets)), F.xxhash64(F.lit(seed), doc_id)
+
+
+def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int, seed: int, text: str, doc_id: str, source: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with size, order and bucket; for each bucket of a source its size, where it starts in the source's order, the
+    source's size and target, and of that the ``whole`` repetitions and the ``extra`` words; and the number of buckets."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("missing"), size.alias("size")))
+    rows = scratch(docs.select(F.col(doc_id).alias("doc_id"), *_source(source), size.alias("size")))
     buckets = blocks_for(rows.count(), BUCKET_ROWS, LEAST_BUCKETS)
-    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(buckets)))
+    bucket, order = _order(F.col("doc_id"), seed, buckets)
+    rows = rows.withColumn("order", order).withColumn("bucket", bucket)
 
     sums = scratch(rows.groupBy("name", "missing", "bucket").agg(F.sum("size").alias("bucket_size")))
     targets = water_fill(sums.groupBy("name", "missing").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs)
     before = Window.partitionBy("name", "missing").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size").join(targets, ["name", "missing"])
+    starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(targets, ["name", "missing"])
     starts = starts.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0).cast("long"))
-    starts = starts.withColumn("extra", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
+    return rows, starts.withColumn("extra", F.round("target").cast("long") - F.col("whole") * F.col("source_size")), buckets
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 17, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """How many words of each document the mix takes; one row for each row of ``docs``.
+
+    A NULL or empty text has size 0 and takes 0. NULL is a source of its own; a source of size 0 has target 0. Repeated
+    rows count as documents of their own; which of two equal rows stands on the border can't be told apart. A source's
+    taken words equal its target, rounded. An empty table gives an empty result. Other columns are not read.
 
+    Returns doc_id, source, size, source_size, target, taken. Built-in functions only.
+    """
+    rows, starts, _ = _dealt(docs, weights, share, epochs, seed, text, doc_id, source)
     inside = Window.partitionBy("name", "missing", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["name", "missing", "bucket"])
+    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts.drop("bucket_size"), ["name", "missing", "bucket"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("start") - F.col("before")))
     return placed.select(
         "doc_id", F.when(~F.col("missing"), F.col("name")).alias("source"), "size", "source_size", "target",
@@ -76,14 +92,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     )
 
 
-def repeat_documents(docs: DataFrame, **how) -> DataFrame:
+def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 17) -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is taken, the one on a source's border once more if at
-    least half of it is. Rows that aren't taken go; so do those of size 0, which the mix takes no words of."""
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), times.alias("_times")).filter("_times > 0")
-    plan = plan.groupBy("_id").agg(F.max("_times").alias("_times"))
-    kept = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    least half of it is. Rows that aren't taken go; so do those of size 0, which the mix takes no words of. Rows with the
+    same id stand on the same side of a border.
+
+    A source's order and its border, one row a source, say for each row how often it is taken, so texts aren't shuffled
+    (unless there are more than BROADCAST_ROWS sources).
+    """
+    rows, starts, buckets = _dealt(docs, weights, share, epochs, seed, "text", "doc_id", "source")
+    # The border lies in the first bucket, and on the first document of its order, that the extra words don't fill.
+    ends = starts.filter("start + bucket_size > extra").groupBy("name", "missing").agg(F.min(F.struct("bucket", "start", "extra", "whole")).alias("end"))
+    ends = scratch(ends.select("name", "missing", "end.*"))
+    inside = Window.partitionBy("name", "missing", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.join(ends, ["name", "missing", "bucket"]).withColumn("left", F.col("extra") - F.col("start") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    first = F.min(F.struct("order", (-F.col("left")).alias("over"), (F.col("left") * 2 >= F.col("size")).alias("taken")))
+    borders = near.filter("size > left").groupBy("name", "missing", "bucket", "whole").agg(first.alias("first"))
+    borders = scratch(borders.select(F.col("name").alias("_name"), F.col("missing").alias("_missing"), F.col("bucket").alias("_end"), F.col("whole").alias("_whole"), F.col("first.order").alias("_order"), F.col("first.taken").alias("_taken")))
+
+    name, missing = _source("source")
+    bucket, order = _order(docs["doc_id"], seed, buckets)
+    few = borders.count() <= BROADCAST_ROWS
+    kept = docs.filter(F.col("text").rlike(WORD)).join(F.broadcast(borders) if few else borders, (name == F.col("_name")) & (missing == F.col("_missing")))
+    more = (bucket < F.col("_end")) | ((bucket == F.col("_end")) & ((order < F.col("_order")) | ((order == F.col("_order")) & F.col("_taken"))))
+    times = F.col("_whole") + F.when(more, 1).otherwise(0)
+    kept = kept.withColumn("_times", times.cast("int")).filter("_times > 0")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
