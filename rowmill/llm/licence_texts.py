@@ -57,3 +57,10 @@ SPELLINGS: list[tuple[str, str]] = [
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
 ]
+
+# Words that follow ``copyright`` in prose; those of the known texts are added to them.
+PROSE: tuple[str, ...] = (
+    "and", "claim", "claims", "holder", "holders", "in", "infringement", "interest", "interests", "is", "law", "laws", "license", "licenses",
+    "licence", "licences", "notice", "notices", "of", "on", "or", "owner", "owners", "ownership", "protection", "right", "rights", "statement",
+    "statements", "to", "treaty",
+)

@@ -1,7 +1,9 @@
 r"""Licence scan by canonical digest lookup.
 
-A text's canonical form has A-Z in lower case, no copyright lines (those that begin with ``copyright``, ``(c)`` or the
-sign), one space for each run of punctuation and white space, and one spelling of equivalent words. The SHA-256 of the
+A text's canonical form has A-Z in lower case, no copyright lines, one space for each run of punctuation and white
+space, and one spelling of equivalent words. A copyright line begins with ``copyright`` or ``(c)`` and a mark, a year, a
+placeholder or a name, or with the sign; a line of prose that was wrapped before the word ``copyright`` stays, since no
+name begins with a word that follows ``copyright`` in the known texts or in PROSE. The SHA-256 of the
 whole canonical text is hash-joined to the digests of known licences; each line of it, as a text of its own, is looked
 up among the same digests, which finds one-line notices.
 
@@ -17,11 +19,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.licence_texts import SPELLINGS, TEXTS
+from rowmill.llm.licence_texts import PROSE, SPELLINGS, TEXTS
 from rowmill.session import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT_LINE = r"(?m)^[\x20\t]*(copyright|\(c\)|©)[^\n]*$"
+
+
+def _none_of(phrases: set[str], first: bool = True) -> str:
+    """A pattern, without look-ahead (the oracle's engine has none), of the beginnings that no line with one of the phrases
+    as its first words has. The first character is a letter, or not ASCII."""
+    heads = "".join(sorted({p[0] for p in phrases if p}))
+    if "" in phrases:
+        other = ["[" + "".join(c for c in _LOWER if c not in heads) + "]"]
+    elif first:
+        other = [f"[^\\x00-\\x60\\x7B-\\x7F{heads}]"]
+    else:
+        # A line that ends within a phrase, behind a whole word of it, was wrapped there.
+        other = [f"[^\\n{heads}]", *([] if " " in heads else ["$"])]
+    return "(" + "|".join([*other, *(h + _none_of({p[1:] for p in phrases if p[:1] == h}, False) for h in heads)]) + ")"
+
+
+def _copyright_line() -> str:
+    """Pattern of copyright lines in lower case."""
+    bodies = [body.translate(str.maketrans(_UPPER, _LOWER)) for _, body in TEXTS]
+    prose = set(PROSE).union(*(re.findall(r"copyright\W+([a-z]+)", b) for b in bodies)) - {"c", "the"}
+    prose = prose.union(*(re.findall(r"copyright\s+(the [a-z]+)", b) for b in bodies))
+    items = set().union(*(re.findall(r"\(c\)\s+([a-z]+)", b) for b in bodies))
+    mark = r"(©|[0-9]{4}|[\[<{])"
+    said = rf"copyright[\x20\t]*:?[\x20\t]*(\(c\)|{mark})|copyright[\x20\t]*:?[\x20\t]+{_none_of(prose)}"
+    sign = rf"\(c\)[\x20\t]*{mark}|\(c\)[\x20\t]+{_none_of(items) if items else '[^\\n]'}|©"
+    return rf"(?m)^[\x20\t]*({said}|{sign})[^\n]*"
+
+
+_COPYRIGHT_LINE = _copyright_line()
 #: ASCII controls, space and punctuation but for the line feed, and typographic punctuation.
 _PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F‐-―‘-‟«»·•]+"
 #: More known texts than this don't belong in a broadcast.

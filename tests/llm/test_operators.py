@@ -313,6 +313,22 @@ def test_licences(spark, docs, none):
     assert licences.scan(none).count() == 0
 
 
+def test_licences_wrapped_before_the_word_copyright(spark):
+    import textwrap
+
+    from rowmill.llm.licence_texts import TEXTS
+
+    def wrapped(body, width):
+        return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in body.split("\n\n"))
+
+    heads = ["Copyright (c) 2020 Someone", "(c) 2020 Someone", "Copyright Someone 2020", "Copyright Noticeboard, Inc.", "Copyright The Authors", "Copyright: <year> <name>", "© Someone"]
+    made = [(f"{heads[(n + width) % len(heads)]}\n\n{wrapped(body, width)}", name) for n, (name, body) in enumerate(TEXTS) if len(body) > 400 and name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause") for width in range(20, 120)]
+    assert all(any(re.search(r"(?mi)^copyright (notice|holder)", text) for text, of in made if of == name) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"))
+    found = licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license_id for r in found} == dict(enumerate(name for _, name in made))
+    assert all(licences.digest(t) == r.canonical_sha256 for r in found for t in [made[r.doc_id][0]])
+
+
 def fill(sizes, weights, share, epochs):
     """Water-filling by repetition, as the definition says."""
     weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
