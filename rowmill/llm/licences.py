@@ -2,7 +2,7 @@ r"""Licence scan by canonical digest lookup.
 
 A text's canonical form has A-Z in lower case, no copyright lines, one space for each run of punctuation and white
 space, and one spelling of equivalent words. A copyright line begins with ``copyright`` or ``(c)`` and a mark, a year, a
-placeholder or a name, or with the sign; a line of prose that was wrapped before the word ``copyright`` stays, since no
+placeholder or a name, or with the sign, and ``All rights reserved.`` as the next line is a part of it; a line of prose that was wrapped before the word ``copyright`` stays, since no
 name begins with a word that follows ``copyright`` in the known texts or in PROSE. The SHA-256 of the
 whole canonical text is hash-joined to the digests of known licences; each line of it, as a text of its own, is looked
 up among the same digests, which finds one-line notices.
@@ -43,12 +43,12 @@ def _copyright_line() -> str:
     """Pattern of copyright lines in lower case."""
     bodies = [body.translate(str.maketrans(_UPPER, _LOWER)) for _, body in TEXTS]
     prose = set(PROSE).union(*(re.findall(r"copyright\W+([a-z]+)", b) for b in bodies)) - {"c", "the"}
-    prose = prose.union(*(re.findall(r"copyright\s+(the [a-z]+)", b) for b in bodies))
+    prose = prose.union(*({f"the {x}" for x in re.findall(r"copyright\s+the\s+([a-z]+)", b)} for b in bodies))
     items = set().union(*(re.findall(r"\(c\)\s+([a-z]+)", b) for b in bodies))
     mark = r"(©|[0-9]{4}|[\[<{])"
     said = rf"copyright[\x20\t]*:?[\x20\t]*(\(c\)|{mark})|copyright[\x20\t]*:?[\x20\t]+{_none_of(prose)}"
     sign = rf"\(c\)[\x20\t]*{mark}|\(c\)[\x20\t]+{_none_of(items) if items else '[^\\n]'}|©"
-    return rf"(?m)^[\x20\t]*({said}|{sign})[^\n]*"
+    return rf"(?m)^[\x20\t]*({said}|{sign})[^\n]*(\n[\x20\t]*all rights reserved[\x20\t\r.]*$)?"
 
 
 _COPYRIGHT_LINE = _copyright_line()
@@ -107,7 +107,9 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = TEXTS, text: str =
     lookup = F.create_map(*(F.lit(x) for pair in digests.items() for x in pair)) if digests else F.create_map(F.lit(""), F.lit(""))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), _lines(F.coalesce(F.col(text), F.lit(""))).alias("lines"))
-    found = F.filter(F.transform("lines", lambda x: F.try_element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull())
+    # The set is hashed, the map is searched from its beginning: only known digests go there.
+    hits = F.filter(F.transform("lines", lambda x: F.sha2(x, 256)), lambda x: x.isin(list(digests)))
+    found = F.transform(hits, lambda x: F.try_element_at(lookup, x))
     rows = rows.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"))
     joined = rows.join(F.broadcast(names), F.col("canonical_sha256") == F.col("known_digest"), "left")
     return joined.select("doc_id", "canonical_sha256", "license_id", "notices")

@@ -329,6 +329,30 @@ def test_licences_wrapped_before_the_word_copyright(spark):
     assert all(licences.digest(t) == r.canonical_sha256 for r in found for t in [made[r.doc_id][0]])
 
 
+def test_licences_in_their_common_files(spark):
+    import textwrap
+    from pathlib import Path
+
+    files = {p.stem: p.read_text() for p in Path(licences.__file__).with_name("licence_files").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} == set(files)
+    known = dict(reversed(licences.TEXTS))
+    notice = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    titles = {"MIT": "The MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+    made = [(name, f"{head}\n\n{notice}{known[name]}\n") for name, title in titles.items() for head in ("", title)]
+    made += [(name, t.replace("\n", "\r\n")) for name, t in made]
+    made += list(files.items()) + [(name, files[name].replace("https://", "http://")) for name in files]
+    made += [(name, files[name].split("END OF TERMS AND CONDITIONS")[0]) for name in ("Apache-2.0", "GPL-3.0")]
+    made.append(("Apache-2.0", files["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone")))
+    for name, text in files.items():  # every paragraph in another width, but for those with notices
+        for width in (30, 53, 72, 100, 10**6):
+            made.append((name, re.sub(r"(?s)[^\n].*?(?=\n\s*\n|\Z)", lambda m: m[0] if re.search(r"(?i)copyright (\(c\)|\[)", m[0]) else textwrap.fill(" ".join(m[0].split()), width, break_long_words=False), text)))
+    made.append((None, notice + "Something else.\n\nAll rights reserved."))
+    found = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "doc_id long, text string")).collect()}
+    assert [(found[i].license_id, name) for i, (name, _) in enumerate(made) if found[i].license_id != name] == []
+    assert [found[i].notices for i in range(20)] == [""] * 20 and found[len(made) - 1].notices == "proprietary"
+    assert all(licences.digest(t) == found[i].canonical_sha256 for i, (_, t) in enumerate(made))
+
+
 def fill(sizes, weights, share, epochs):
     """Water-filling by repetition, as the definition says."""
     weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
