@@ -112,6 +112,15 @@ def test_toxicity_learns_words_and_beginnings(spark, none, docs, labels):
     assert toxicity.ToxicityModel.fit([], []).score("", {}) < 0.01
 
 
+def test_toxicity_learns_all_rows_of_a_label_up_to_the_bound(spark, monkeypatch):
+    ids = spark.range(3_800)
+    kept = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(3_800))
+    seen = []
+    monkeypatch.setattr(toxicity.ToxicityModel, "fit", classmethod(lambda cls, texts, toxic, weight: seen.append(len(texts))))
+    toxicity.train(ids.selectExpr("id AS doc_id", "string(id) AS text"), ids.selectExpr("id AS doc_id", "0 AS toxic"))
+    assert 2_500 < kept < 3_000 and seen == [kept]
+
+
 def test_counterfactual_penalty_lowers_the_weight_of_groups():
     texts, toxic = [], []
     for i in range(400):  # one group is named in toxic texts far more often
