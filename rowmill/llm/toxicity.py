@@ -4,8 +4,8 @@ The classifier is a logistic regression over the presence of lexical indicators:
 that labelled toxic texts have significantly more often than clean ones. Besides the log loss it minimises a
 counterfactual penalty: in labelled texts each identity term is swapped for others of its language, and the squared
 change of the logit is added to the loss. So what a text says about a group can't hinge on which group it is, and
-neutral mentions aren't taken for toxicity. Labelled texts that name no group get a neutral mention appended for these
-pairs, so that every term is covered.
+neutral mentions aren't taken for toxicity. Every text of the sample that names groups gets pairs for all its terms; besides,
+neutral mentions are appended to texts for such pairs, those that name no group first, so that every term is covered.
 
 Training takes a bounded sample: of each label at most MAX_PER_LABEL rows (those with the smallest seeded hash of the
 id), of texts up to MAX_TRAIN_BYTES bytes. Its ids are picked from the labels alone and broadcast, so documents aren't
@@ -15,6 +15,7 @@ shuffled. Scoring is one scan of whole texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -34,7 +35,7 @@ SEED = 41
 LEAST_Z, LEAST_TEXTS = 2.5, 3
 #: Weight of the counterfactual penalty.
 COUNTERFACTUAL = 1.0
-#: Texts with identity terms, or with appended mentions, that get counterfactual pairs; swaps of each.
+#: Neutral mentions that are appended; swaps of each term of a text.
 PAIR_TEXTS, SWAPS = 500, 4
 THRESHOLD = 0.3
 #: Words that a worker remembers.
@@ -120,34 +121,44 @@ class ToxicityModel:
         chosen = [listed[i] for i in order if z[i] >= LEAST_Z]
         return {name: i for i, name in enumerate(dict.fromkeys([*chosen, *(f"={t}" for t in _GROUP_OF)]))}
 
-    def _pairs(self, bags: list[frozenset[str]]) -> Iterator[tuple[frozenset[str], frozenset[str]]]:
-        """Texts with identity terms and the same with one term swapped."""
-        groups, used = list(IDENTITY_TERMS.values()), 0
-        for n, bag in enumerate(bags):
-            named = sorted(bag & _GROUP_OF.keys())
-            if not named:
-                terms = groups[n % len(groups)]
-                named = [terms[n // len(groups) % len(terms)]]
-                bag |= {named[0]}
-            for term in named[:SWAPS]:
+    def _pairs(self, bags: list[frozenset[str]]) -> Counter[tuple[tuple[int, ...], tuple[int, ...]]]:
+        """Indicators that texts lose and gain when one identity term is swapped, with the number of such pairs."""
+        groups, of_term = list(IDENTITY_TERMS.values()), {t: self.found([t], {}) for t in _GROUP_OF}
+        memory: dict[str, tuple[int, ...]] = {}
+        pairs: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()
+
+        def swap(bag: frozenset[str], terms: Sequence[str], n: int) -> None:
+            held: Counter[int] = Counter()
+            for word in bag if terms else ():
+                held.update(self.found([word], memory))
+            for term in terms:
                 others = [t for t in _GROUP_OF[term] if t != term]
                 for k in range(SWAPS):
-                    yield bag, bag - {term} | {others[(n + k) % len(others)]}
-            used += 1
-            if used >= PAIR_TEXTS:
-                return
+                    old, new = of_term[term], of_term[others[(n + k) % len(others)]]
+                    lost = (i for i in old - new if held[i] == 1)
+                    gained = (i for i in new - old if not held[i])
+                    pairs[tuple(sorted(lost)), tuple(sorted(gained))] += 1
+
+        for n, bag in enumerate(bags):
+            swap(bag, sorted(bag & _GROUP_OF.keys()), n)
+        order = sorted(bags, key=lambda b: bool(b & _GROUP_OF.keys()))
+        for n in range(PAIR_TEXTS if bags else 0):
+            terms = groups[n % len(groups)]
+            mention = terms[n // len(groups) % len(terms)]
+            swap(order[n % len(order)] | {mention}, [mention], n)
+        return pairs
 
     def _train(self, bags: list[frozenset[str]], y: np.ndarray, counterfactual: float, steps: int = 400, ridge: float = 1e-4) -> None:
         memory: dict[str, tuple[int, ...]] = {}
 
-        def sparse(all_bags: Iterable[frozenset[str]]) -> tuple[np.ndarray, np.ndarray]:
-            hits = [sorted(self.found(b, memory)) for b in all_bags]
-            return np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.array([p for h in hits for p in h], np.int64)
-
-        rows, columns = sparse(bags)
-        with_terms = sorted(range(len(bags)), key=lambda i: not (bags[i] & _GROUP_OF.keys()))
-        pairs = list(self._pairs([bags[i] for i in with_terms]))
-        left, right = sparse(a for a, _ in pairs), sparse(b for _, b in pairs)
+        hits = [sorted(self.found(b, memory)) for b in bags]
+        rows, columns = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.array([p for h in hits for p in h], np.int64)
+        # The indicators that both texts of a pair have cancel out, so equal swaps are one pair that counts repeatedly.
+        pairs = self._pairs(bags)
+        left, right = (
+            (np.repeat(np.arange(len(pairs)), [len(p[side]) for p in pairs]), np.array([i for p in pairs for i in p[side]], np.int64)) for side in (0, 1)
+        )
+        share = np.array(list(pairs.values()), float) / max(1, pairs.total())
         n, k = len(y), len(self.place)
         w, bias = np.zeros(k), 0.0
         # Both labels weigh as in the sample of a tenth of toxic texts; Adam on the whole sample.
@@ -159,7 +170,7 @@ class ToxicityModel:
             g = np.bincount(columns, residual[rows], k) + ridge * w
             if counterfactual and pairs:
                 change = np.bincount(left[0], w[left[1]], len(pairs)) - np.bincount(right[0], w[right[1]], len(pairs))
-                change *= 2 * counterfactual / len(pairs)
+                change *= 2 * counterfactual * share
                 g += np.bincount(left[1], change[left[0]], k) - np.bincount(right[1], change[right[0]], k)
             g = np.append(g, residual.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

@@ -140,6 +140,24 @@ def test_counterfactual_penalty_lowers_the_weight_of_groups():
     assert model.score("a vile text", {}) >= 0.3
 
 
+def test_counterfactual_pairs_cover_all_texts_and_terms():
+    def spread(texts, toxic, terms):
+        model = toxicity.ToxicityModel.fit(texts, toxic, 20.0)
+        scores = [model.score(f"{t} live here", {}) for t in terms]
+        return max(scores) - min(scores)
+
+    # 500 texts name a group of one language, then texts name one of another far more often where they are toxic.
+    texts = [f"women number {i} are here {'vile' if i % 4 == 0 else 'fine'}" for i in range(520)]
+    toxic = [int(i % 4 == 0) for i in range(520)]
+    more = [f"leute number {i} {'juden' if i % 4 == 0 and i % 8 else ''}" for i in range(520, 1_000)]
+    assert spread(texts + more, toxic + [int(i % 4 == 0) for i in range(520, 1_000)], toxicity.IDENTITY_TERMS["de"]) < 0.05
+    model = toxicity.ToxicityModel({f"={t}": i for i, t in enumerate(toxicity._GROUP_OF)})
+    for term in toxicity._GROUP_OF:  # the last of many terms of a text, and each without any
+        bag = frozenset(toxicity.IDENTITY_TERMS["en"])
+        assert all(any(model.place[f"={term}"] in lost for lost, _ in model._pairs(bags)) for bags in ([bag] * 600, [frozenset()] * 600))
+    assert sum(model._pairs([frozenset({"women", "men", "gay", "black", "white", "asian", "jewish"})] * 600).values()) == 4 * (600 * 7 + 500)
+
+
 def test_chats_round_trip(spark):
     special = "\\b <turn:user>\n</turn>\n \\\\l > \\g"
     data = [(1, 1, "assistant", special, "x"), (1, 0, "user", None, "x"), (1, 1, "assistant", special, "x"), (2, None, None, "solo", "x"), (None, 0, "assistant", "", "x")]
