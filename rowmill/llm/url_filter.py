@@ -2,15 +2,16 @@
 
 The trees learn from labelled URLs, by default those that a rule decides: a bounded sample of MAX_TRAIN of them, the
 smallest by a seeded hash. Features are length, depth, digit ratio, entropy, parameter counts and suffix statistics
-(smoothed share of blocked URLs by the last one and two labels of the host, of the sample). The model is a few KB
-and travels to the executors; scoring is one scan without shuffle.
+(smoothed share of blocked URLs by the last one and two labels of the host, counted over all labelled URLs). The trees and
+the MAX_BROADCAST most frequent suffixes travel to the executors, so scoring is one scan without shuffle; where there are
+more suffixes, the statistics of the others are joined to the rows that have them.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,10 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Labelled URLs that the trees are fitted to, at most.
 MAX_TRAIN = 20_000
 SEED = 29
+#: Suffixes whose statistics are broadcast, at most: about 20 MB in each Python worker.
+MAX_BROADCAST = 100_000
+#: Suffixes that a task counts before it passes the counts on.
+MAX_COUNTED = 100_000
 #: Prior rows of a suffix statistic.
 SMOOTHING = 10.0
 FEATURES = (
@@ -64,6 +69,21 @@ def suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
+def count_suffixes(labelled: Iterable[tuple[str, int]]) -> dict[str | None, tuple[int, int]]:
+    """Blocked and all URLs by suffix, and of all rows under None."""
+    seen: dict[str | None, list[int]] = defaultdict(lambda: [0, 0])
+    for url, label in labelled:
+        for s in {None, *suffixes(lexical_host(url))}:
+            seen[s][0] += label
+            seen[s][1] += 1
+    return {s: (a, n) for s, (a, n) in seen.items()}
+
+
+def lexical_host(url: str) -> str:
+    _, mark, rest = url.partition("://")
+    return (rest if mark else url).partition("#")[0].partition("?")[0].partition("/")[0].lower()
+
+
 def lexical(url: str) -> tuple[list[float], str]:
     """The features of a URL but for the suffix statistics, and its host."""
     _, mark, rest = url.partition("://")
@@ -174,28 +194,33 @@ class UrlModel:
     trees: BoostedTrees
 
     @classmethod
-    def fit(cls, urls: Sequence[str], blocked: Sequence[int]) -> UrlModel:
-        """Without rows, or with rows of one label only, every URL scores that label's share (0 without rows)."""
+    def fit(cls, urls: Sequence[str], blocked: Sequence[int], counts: dict[str | None, tuple[int, int]] | None = None) -> UrlModel:
+        """Without rows, or with rows of one label only, every URL scores that label's share (0 without rows). ``counts`` are
+        the blocked and all URLs by suffix, under None those of the whole table; by default of these rows."""
+        counts = count_suffixes(zip(urls, blocked, strict=True)) if counts is None else counts
         y = np.array(blocked, float)
-        prior = float(y.mean()) if len(y) else 0.0
-        seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        total = counts.get(None, (0, 0))
+        prior = total[0] / total[1] if total[1] else 0.0
         made = [lexical(u) for u in urls]
-        for (_, host), label in zip(made, blocked, strict=True):
-            for s in {*suffixes(host)}:
-                seen[s][0] += label
-                seen[s][1] += 1
-        model = cls({s: (a + SMOOTHING * prior) / (n + SMOOTHING) for s, (a, n) in seen.items()}, prior, BoostedTrees())
-        if 0 < prior < 1:
+        model = cls({s: (a + SMOOTHING * prior) / (n + SMOOTHING) for s, (a, n) in counts.items() if s is not None}, prior, BoostedTrees())
+        if len(y) and y.min() < y.max():
             model.trees.fit(model.matrix(made), y)
         return model
 
-    def matrix(self, made: Sequence[tuple[list[float], str]]) -> np.ndarray:
-        return np.array([[*values, *(self.rates.get(s, self.prior) for s in suffixes(host))] for values, host in made], float).reshape(len(made), len(FEATURES))
+    def matrix(self, made: Sequence[tuple[list[float], str]], joined: Sequence[Sequence[float | None]] | None = None) -> np.ndarray:
+        """``joined`` has the statistics of both suffixes of each row where they aren't among the model's."""
 
-    def predict(self, urls: Sequence[str]) -> np.ndarray:
+        def rate(suffix: str, other: float | None) -> float:
+            return self.rates.get(suffix, self.prior if other is None or math.isnan(other) else other)
+
+        others = joined or [(None, None)] * len(made)
+        rows = [[*values, *map(rate, suffixes(host), more)] for (values, host), more in zip(made, others, strict=True)]
+        return np.array(rows, float).reshape(len(made), len(FEATURES))
+
+    def predict(self, urls: Sequence[str], joined: Sequence[Sequence[float | None]] | None = None) -> np.ndarray:
         if not self.trees.trees:
             return np.full(len(urls), self.prior)
-        return self.trees.predict(self.matrix([lexical(u) for u in urls]))
+        return self.trees.predict(self.matrix([lexical(u) for u in urls], joined))
 
 
 def judged_by_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -212,6 +237,30 @@ def training_sample(labelled: DataFrame, most: int = MAX_TRAIN) -> tuple[list[st
     return [r["url"] for r in rows], [int(r["blocked"]) for r in rows]
 
 
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """suffix, blocked and total over all rows of ``labelled``; the NULL suffix stands for all of them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str | None, list[int]] = defaultdict(lambda: [0, 0])
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame([(s, a, n) for s, (a, n) in seen.items()], columns=["suffix", "blocked", "total"])
+            seen.clear()
+            return made.astype({"suffix": object, "blocked": "int64", "total": "int64"})
+
+        for part in parts:
+            for s, (a, n) in count_suffixes(zip(part["url"], part["blocked"].astype(int), strict=True)).items():
+                seen[s][0] += a
+                seen[s][1] += n
+            if len(seen) >= MAX_COUNTED:
+                yield out()
+        yield out()
+
+    rows = labelled.filter("url is not null and blocked is not null").select("url", "blocked")
+    counted = rows.mapInPandas(run, "suffix string, blocked long, total long")
+    return counted.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("total").alias("total"))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Allow or block every page; one row for each row of ``pages``.
 
@@ -223,15 +272,61 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     judged = judged_by_rules(pages, rules)
     if labelled is None:
         labelled = judged.filter("said is not null").select("url", (F.col("said") == "block").cast("int").alias("blocked"))
-    model = UrlModel.fit(*training_sample(labelled))
+    urls, blocked = training_sample(labelled)
+    order = [F.col("suffix").isNull().desc(), F.desc("total"), "suffix"]
+    # The total, the suffixes that are broadcast and one more, which says whether there are others.
+    found = suffix_counts(labelled).orderBy(*order).limit(MAX_BROADCAST + 2).collect()
+    if len(found) > MAX_BROADCAST + 1:
+        return _scored_by_join(judged, labelled, urls, blocked, [tuple(r) for r in found[:-1]], threshold)
+    model = UrlModel.fit(urls, blocked, {s: (a, n) for s, a, n in found})
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for urls in parts:
             yield pd.Series(model.predict(["" if u is None else u for u in urls]))
 
+    return _verdicts(judged.withColumn("score", score("url")), threshold)
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
     method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return judged.withColumn("score", score("url")).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")
+
+
+def _scored_by_join(judged: DataFrame, labelled: DataFrame, urls: list[str], blocked: list[int], top: list[tuple[str | None, int, int]], threshold: float) -> DataFrame:
+    """Verdicts where only the statistics of the ``top`` suffixes are broadcast."""
+    spark = judged.sparkSession
+    counts = {s: (a, n) for s, a, n in top}
+    known = frozenset(counts)
+    table_of = suffix_counts(labelled).filter("suffix is not null")
+    # The sample has at most 2 * MAX_TRAIN suffixes; the trees are fitted to the statistics of all of them.
+    needed = sorted({s for u in urls for s in suffixes(lexical_host(u))} - known)
+    if needed:
+        wanted = spark.createDataFrame([(s,) for s in needed], "suffix string")
+        own = {r["suffix"]: (r["blocked"], r["total"]) for r in table_of.join(F.broadcast(wanted), "suffix").collect()}
+    else:
+        own = {}
+    model = UrlModel.fit(urls, blocked, counts | own)
+    share = (F.col("blocked") + SMOOTHING * model.prior) / (F.col("total") + SMOOTHING)
+    rates = table_of.select("suffix", share.alias("rate"))
+
+    @F.pandas_udf("array<string>")
+    def rare(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in parts:
+            yield pd.Series([[None if s in known else s for s in suffixes(lexical_host(u or ""))] for u in some])
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for some, one, two in parts:
+            yield pd.Series(model.predict(["" if u is None else u for u in some], list(zip(one, two, strict=True))))
+
+    rows = judged.withColumn("_rare", rare("url"))
+    for i in (0, 1):
+        # Rows of broadcast suffixes find nothing, under keys (no host has a line feed and slash) that deal them evenly.
+        key = F.coalesce(F.col("_rare")[i], F.concat(F.lit("\n/"), F.xxhash64("page_id", "url").cast("string")))
+        side = rates.select(F.col("suffix").alias(f"_key{i}"), F.col("rate").alias(f"_rate{i}"))
+        rows = rows.withColumn(f"_key{i}", key).join(side, f"_key{i}", "left")
+    return _verdicts(rows.withColumn("score", score("url", "_rate0", "_rate1")), threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

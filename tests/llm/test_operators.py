@@ -277,6 +277,29 @@ def test_url_rules_and_trees(spark):
     assert url_filter.UrlModel.fit([], []).predict(["http://x"]).tolist() == [0.0]
 
 
+def test_url_suffix_statistics_count_all_labelled_urls(spark, monkeypatch):
+    made = [(i, f"http://h{i}.site{i % 300}.{'org' if i % 3 else 'info'}/{i}", int(i % 300 < 150)) for i in range(1_800)]
+    pages = spark.createDataFrame([*made, (9_998, None, 1), (9_999, "http://com/", 0)], "page_id long, url string, blocked int").repartition(5)
+    expected = defaultdict(lambda: [0, 0])
+    for _, u, bad in [*made, (0, "http://com/", 0)]:
+        host = u.split("/")[2]
+        for s in {None, host.split(".")[-1], ".".join(host.split(".")[-2:])}:
+            expected[s][0] += bad
+            expected[s][1] += 1
+    monkeypatch.setattr(url_filter, "MAX_COUNTED", 40)
+    assert {r.suffix: [r.blocked, r.total] for r in url_filter.suffix_counts(pages).collect()} == expected
+    sample = url_filter.training_sample
+    monkeypatch.setattr(url_filter, "training_sample", lambda labelled: sample(labelled, 200))
+    seen, fit = [], url_filter.UrlModel.fit.__func__
+    monkeypatch.setattr(url_filter.UrlModel, "fit", classmethod(lambda cls, *a: seen.append(fit(cls, *a)) or seen[-1]))
+    whole = {r.page_id: r.score for r in url_filter.filter_urls(pages, labelled=pages, rules=[]).collect()}
+    assert len(whole) == 1_802 and seen[0].prior == 900 / 1_801 and set(seen[0].rates) == set(expected) - {None}
+    # Each site is always or never blocked, which most sites aren't in the sample to show.
+    assert sum((whole[i] >= 0.5) == bool(bad) for i, _, bad in made) > 0.99 * len(made)
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", 5)
+    assert {r.page_id: r.score for r in url_filter.filter_urls(pages, labelled=pages, rules=[]).collect()} == whole
+
+
 def shingles(text, k):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
