@@ -4,7 +4,7 @@
 with a timestamp each, cut into 188-byte packets with continuity counters; every RANDOM_ACCESS-th access unit is
 a random-access point with its own clock reference and repeated tables. ``demux`` reads such bytes back: it parses the
 program tables, checks continuity counters, reassembles the elementary packets and returns timestamps with the
-random-access points. Both work on all packets of a stream at once.
+random-access points, of every elementary stream of every program. Both work on all packets of a stream at once.
 
 Rows are independent, so there is no shuffle.
 """
@@ -39,7 +39,7 @@ BATCH_BYTES = 8 << 20
 
 
 class StreamError(ValueError):
-    """Bytes that aren't a transport stream of one data program."""
+    """Bytes that aren't a whole transport stream."""
 
 
 def _crc_table() -> list[int]:
@@ -168,12 +168,24 @@ def _read_section(packet: np.ndarray, table_id: int) -> bytes:
     length = int.from_bytes(data[begin + 1 : begin + 3], "big") & 0xFFF
     section = data[begin : begin + 3 + length]
     if section[0] != table_id or crc32_mpeg(section):
-        raise StreamError("a program table is damaged")
+        raise StreamError("a program table is damaged, or longer than a packet")
+    if section[7]:
+        raise StreamError("a program table of several sections")
     return section
 
 
 def demux(data: bytes) -> Stream:
-    """Parse a transport stream with one program of one elementary stream; damage that hits its structure raises."""
+    """Parse a transport stream of a single elementary stream; more than one and damage that hits its structure raise."""
+    found = demux_all(data)
+    if len(found) != 1:
+        raise StreamError(f"{len(found)} elementary streams")
+    return found[0]
+
+
+def demux_all(data: bytes) -> list[Stream]:
+    """Every elementary stream of a transport stream, in the order of its program tables; damage that hits its structure
+    raises. Elementary packets need no timestamp (then -1), nor a length if they are video. Streams that are scrambled, have no
+    packet, no optional header, several versions of a table or tables over a packet raise."""
     if not data or len(data) % PACKET:
         raise StreamError(f"{len(data)} bytes are not whole packets")
     packets = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
@@ -181,26 +193,47 @@ def demux(data: bytes) -> Stream:
         raise StreamError("a packet without sync byte")
     pid = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
     starts = (packets[:, 1] & 0x40) > 0
-
-    def first_table(of: int, table_id: int) -> bytes:
-        found = np.flatnonzero((pid == of) & starts)
-        if not len(found):
-            raise StreamError(f"no table on pid {of}")
-        return _read_section(packets[found[0]], table_id)
-
-    pat = first_table(PAT_PID, 0x00)
-    program, pmt_pid = int.from_bytes(pat[8:10], "big"), int.from_bytes(pat[10:12], "big") & 0x1FFF
-    pmt = first_table(pmt_pid, 0x02)
-    at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
-    stream_type, data_pid = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-
-    errors = 0
-    for one in (PAT_PID, pmt_pid, data_pid):
-        own = packets[pid == one]
+    tables: dict[int, list[bytes]] = {}
+
+    def table(of: int, table_id: int, program: int | None = None) -> bytes:
+        if of not in tables:
+            shown: dict[bytes, np.ndarray] = {}
+            for packet in packets[(pid == of) & starts]:
+                shown.setdefault(packet[4:].tobytes(), packet)
+            tables[of] = list(dict.fromkeys(_read_section(packet, table_id) for packet in shown.values()))
+        own = [x for x in tables[of] if program is None or int.from_bytes(x[3:5], "big") == program]
+        if len(own) != 1:
+            raise StreamError(f"{len(own)} tables on pid {of}")
+        return own[0]
+
+    def errors(of: int) -> int:
+        own = packets[pid == of]
         counters = own[(own[:, 3] & 0x10) > 0, 3].astype(np.int64) & 0x0F
-        errors += int(((np.diff(counters) % 16) != 1).sum())
-
-    own = packets[(pid == data_pid) & ((packets[:, 3] & 0x10) > 0)]
+        return int(((np.diff(counters) % 16) != 1).sum())
+
+    pat = table(PAT_PID, 0x00)
+    found = []
+    for entry in range(8, len(pat) - 4, 4):
+        program, pmt_pid = int.from_bytes(pat[entry : entry + 2], "big"), int.from_bytes(pat[entry + 2 : entry + 4], "big") & 0x1FFF
+        if not program:  # the network table
+            continue
+        pmt = table(pmt_pid, 0x02, program)
+        at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
+        while at < len(pmt) - 4:
+            data_pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
+            payload, stamps, access = _elementary(packets[(pid == data_pid) & ((packets[:, 3] & 0x10) > 0)])
+            damaged = errors(PAT_PID) + errors(pmt_pid) + errors(data_pid)
+            found.append(Stream(program, data_pid, int(pmt[at]), len(packets), payload, stamps, access, damaged))
+            at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
+    if not found:
+        raise StreamError("no elementary stream")
+    return found
+
+
+def _elementary(own: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Payload, timestamps and random-access points of the packets of one elementary stream."""
+    if (own[:, 3] & 0xC0).any():
+        raise StreamError("a scrambled stream")
     adapted = (own[:, 3] & 0x20) > 0
     begin = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
     stream = own[np.arange(PACKET) >= begin[:, None]]
@@ -209,21 +242,29 @@ def demux(data: bytes) -> Stream:
     offsets = (np.cumsum(held) - held)[unit]
     if not len(unit) or unit[0]:
         raise StreamError("the stream doesn't begin with an elementary packet")
-    head = stream[offsets[:, None] + np.arange(9)].astype(np.int64)
-    if (head[:, :3] != (0, 0, 1)).any() or (head[:, 3] != PRIVATE_STREAM).any() or (head[:, 7] >> 6 == 0).any():
-        raise StreamError("an elementary packet without start code or timestamp")
     lengths = np.diff(np.append(offsets, len(stream)))
-    if ((head[:, 4] << 8 | head[:, 5]) + 6 != lengths).any():
+    if (lengths < 9).any():
+        raise StreamError("an elementary packet without header")
+    head = stream[offsets[:, None] + np.arange(9)].astype(np.int64)
+    video = head[:, 3] >> 4 == 0xE
+    if (head[:, :3] != (0, 0, 1)).any() or (head[:, 6] >> 6 != 2).any():
+        raise StreamError("an elementary packet without start code or header")
+    stated = head[:, 4] << 8 | head[:, 5]
+    if ((stated + 6 != lengths) & ~(video & (stated == 0))).any() or (9 + head[:, 8] > lengths).any():
         raise StreamError("an elementary packet of another length than stated")
-    p = stream[offsets[:, None] + np.arange(9, 14)].astype(np.int64)
-    stamps = (p[:, 0] >> 1 & 7) << 30 | p[:, 1] << 22 | (p[:, 2] >> 1) << 15 | p[:, 3] << 7 | p[:, 4] >> 1
+    stamped = head[:, 7] >> 7 > 0
+    if (head[stamped, 8] < 5).any():
+        raise StreamError("an elementary packet without its timestamp")
+    p = stream[offsets[stamped][:, None] + np.arange(9, 14)].astype(np.int64)
+    stamps = np.full(len(unit), -1, np.int64)
+    stamps[stamped] = (p[:, 0] >> 1 & 7) << 30 | p[:, 1] << 22 | (p[:, 2] >> 1) << 15 | p[:, 3] << 7 | p[:, 4] >> 1
     flagged = own[unit]
     access = adapted[unit] & (flagged[:, 4] > 0) & ((flagged[:, 5] & 0x40) > 0)
     # A byte is payload if it stands at or behind the end of its unit's header.
     skip = np.zeros(len(stream) + 1, np.int64)
-    skip[offsets] += 1
-    skip[offsets + 9 + head[:, 8]] -= 1
-    return Stream(program, data_pid, int(stream_type), len(packets), stream[np.cumsum(skip[:-1]) == 0].tobytes(), stamps, access, errors)
+    np.add.at(skip, offsets, 1)
+    np.add.at(skip, offsets + 9 + head[:, 8], -1)
+    return stream[np.cumsum(skip[:-1]) == 0].tobytes(), stamps, access
 
 
 def store_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -250,7 +291,7 @@ def store_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """What the streams hold. Adds payload, units (pts and random_access of each elementary packet), program, pid,
+    """What the streams hold, a row for each elementary stream. Adds payload, units (pts and random_access of each elementary packet), program, pid,
     stream_type, packets and continuity_errors to doc_id, n_bytes and media. Damaged streams raise."""
     schema = "doc_id long, n_bytes long, media binary, payload binary, units array<struct<pts: long, random_access: boolean>>, program int, pid int, stream_type int, packets long, continuity_errors long"
     types = pa.schema([("payload", pa.binary()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_())]))), ("program", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64())])
@@ -264,14 +305,18 @@ def read_media(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found, held = 0, [], 0
+            rows, found, held = [], [], 0
             for i in range(batch.num_rows):
                 data = batch.column(2)[i].as_buffer().to_pybytes()
-                found.append(demux(data))
-                held += len(data)
-                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    yield out(batch.slice(at, i + 1 - at), found)
-                    at, found, held = i + 1, [], 0
+                for stream in demux_all(data):
+                    rows.append(i)
+                    found.append(stream)
+                    held += len(data)
+                if rows and (held >= BATCH_BYTES or i + 1 == batch.num_rows):
+                    # Slices copy nothing; only rows of several streams have to be repeated.
+                    whole = rows == list(range(rows[0], rows[0] + len(rows)))
+                    yield out(batch.slice(rows[0], len(rows)) if whole else batch.take(pa.array(rows)), found)
+                    rows, found, held = [], [], 0
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 

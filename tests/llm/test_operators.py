@@ -258,6 +258,40 @@ def test_transport_streams_round_trip(docs, none):
     assert transport.read_media(transport.store_media(none)).count() == 0
 
 
+def test_transport_streams_of_several_programs_and_kinds(spark):
+    rng = random.Random(4)
+    bodies = [transport.pad(rng.randbytes(n)) for n in (40_000, 9_000, 700)]
+    wanted = [(1, 0x100, 0x1B, 0xE0), (1, 0x101, 0x0F, 0xC0), (2, 0x102, 0x06, 0xBD)]
+
+    def packets_of(body, pid, stream_id):
+        out = np.frombuffer(transport.mux(body), np.uint8).reshape(-1, 188).copy()
+        out = out[(out[:, 1] & 0x1F) == transport.DATA_PID >> 8]
+        out[:, 1], out[:, 2] = (out[:, 1] & 0x40) | pid >> 8, pid & 0xFF
+        for k in np.flatnonzero((out[:, 1] & 0x40) > 0):
+            row = out[k]
+            at = 5 + int(row[4]) if row[3] & 0x20 else 4
+            row[at + 3] = stream_id
+            if stream_id == 0xE0:
+                row[at + 4 : at + 6] = 0  # video of unstated length
+        return out
+
+    entry = lambda number, pid: number.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big")
+    stream = lambda kind, pid: bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00"
+    tables = [(0, transport._section(0, 1, entry(0, 0x10) + entry(1, 0x1000) + entry(2, 0x1001)))]
+    tables += [(0x1000 + n, transport._section(2, n + 1, b"\xe1\x00\xf0\x00" + b"".join(stream(k, p) for of, p, k, _ in wanted if of == n + 1))) for n in (0, 1)]
+    media = [packets_of(b, p, i) for b, (_, p, _, i) in zip(bodies, wanted, strict=True)]
+    mixed = sorted(((k / len(m), n, k) for n, m in enumerate(media) for k in range(len(m))))
+    data = b"".join(transport._table_packet(p, t).tobytes() for p, t in tables) + b"".join(media[n][k].tobytes() for _, n, k in mixed)
+    found = transport.demux_all(data)
+    assert [(s.program, s.pid, s.stream_type, s.payload, s.continuity_errors) for s in found] == [(*w[:3], b, 0) for w, b in zip(wanted, bodies, strict=True)]
+    with pytest.raises(transport.StreamError):
+        transport.demux(data)
+    single = transport.mux(bodies[2])
+    rows = spark.createDataFrame([(1, 5, single), (2, 6, data), (3, 7, single)], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = [(r.doc_id, bytes(r.payload)) for r in transport.read_media(rows).collect()]
+    assert got == [(1, bodies[2]), *((2, b) for b in bodies), (3, bodies[2])]
+
+
 def test_url_rules_and_trees(spark):
     urls = [
         ("http://a.example.com/fr/1", "com/", "allow"), ("https://A.EXAMPLE.COM/en/2?x#y", "example.com/en/", "block"), ("http://www.example.com/en/", "www.example.com/en/", "allow"),
