@@ -1,19 +1,26 @@
 """Exact Jaccard self-join on word shingles with token-combination prefixes.
 
-1. One scan of the texts makes the shingle sets. Documents with equal sets are one class, and from here on a class counts
-   once; a task already sends a class once, however many copies it has. Tokens travel in packed blobs, by ranges of
-   their hash, so that each range meets in one task, which counts in how many classes each token is (exact frequencies).
-   Tokens of one class only can't be shared, so they are dropped there and only counted.
-2. A class with n tokens links at least at overlap o = ceil(t n); one with more than n - o unshared tokens
+1. One scan of the texts makes the shingle sets and notes their size and id. Documents with equal sets are one class, and
+   from here on a class counts once. Tokens are counted in windows of each task; those that come to a high count in the
+   corpus are hot, and their list, which has a bound, is broadcast.
+2. A second scan sends each class's tokens in packed blobs, by ranges of their hash, so that each range meets in one
+   task, which counts in how many classes each token is (exact frequencies). Tokens of one class only can't be shared,
+   so they are dropped there and only counted. A hot token would fill one range with its classes: its occurrences are
+   dealt by class instead, and its frequency is the noted count.
+3. A class with n tokens links at least at overlap o = ceil(t n); one with more than n - o unshared tokens
    links with nothing. For the others tokens stand in order of frequency, rare ones first.
-3. Prefixes: of two linked classes the first shared token stands among the first n - o + 1 of both, and the first m + 1
+4. Prefixes: of two linked classes the first shared token stands among the first n - o + 1 of both, and the first m + 1
    shared ones among the first n - o + m + 1. If the first is rare it is indexed alone. Else all are frequent; those are
    dealt into m hash classes, two of the m + 1 fall into one, and every pair of a hash class is indexed. m follows the size, so
    the number of pairs is in proportion to it. Both sides index for each size class that a partner may have.
-4. Classes that meet at an index entry are candidates. Entries are chained, not expanded into pairs: a star to the
-   smallest class each, and components of those stars are clusters. A cluster's sets meet in one task, or in tasks for
-   pairs of chunks if it is large, which verify all its pairs exactly with matrix products and return a spanning forest
-   of the links. Components of the forest are the result.
+5. Classes that meet at an index entry are candidates. Entries are chained, not expanded into pairs: a star to the
+   smallest class each, and components of those stars are clusters. A cluster of up to CHUNK classes meets in one task,
+   which verifies all its pairs exactly with matrix products. A larger one is dealt into chunks; each task verifies the
+   pairs of its chunk and those with the cluster's pivots (PIVOTS of its classes). Copies of one text link with a pivot
+   or through a chunk, so one component is left of them and the work is in proportion to the cluster.
+6. Where a cluster is still in several components, pairs across those remain. Jaccard distance is a metric: two classes
+   whose distances to a pivot differ by more than 1 - t can't link. So classes are dealt into cells by their distances to
+   two pivots, and only chunks of adjacent cells and of different components are verified, pair by pair of chunks.
 
 No pair of copies is ever made, nothing but counts comes to the driver, and nothing is dropped to bound a group.
 """
@@ -26,26 +33,29 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import blocks_for, bounded_batches, left_join_groups, release_memory, scratch, without
+from rowmill.llm.common import blocks_for, bounded_batches, forget, left_join_groups, release_memory, scratch, split_by_keys
 from rowmill.llm.components import components
 from rowmill.llm.shingles import Powers, mix, set_id, shingle_sets
 from rowmill.session import table
 
-#: Documents for each range of token hashes.
-RANGE_ROWS = 4096
-#: Tokens that a task holds before it sends them.
+#: Tokens that a range of hashes is meant for.
+RANGE_TOKENS = 1 << 20
+#: Tokens that a task holds before it counts or sends them.
 HELD_TOKENS = 1 << 20
+#: Classes of a window in which a token is before the window notes it, and classes from which on a noted token is hot;
+#: in large tables a token is hot from one in HOT_PART of all tokens on, so there are at most HOT_PART hot ones.
+NOTED, HOT_CLASSES, HOT_PART = 3, 1 << 12, 1 << 20
 #: Tokens in more classes than this are frequent: indexed in pairs.
 RARE = 24
-#: Classes of one chunk of a cluster.
-CHUNK = 512
+#: Classes of one chunk of a cluster, and the pivots of a cluster of several.
+CHUNK, PIVOTS = 256, 8
 #: From this many classes of a chunk on, a token is counted by matrix product, below by its pairs.
 DENSE = 12
-LOW = np.uint64((1 << 48) - 1)
-#: Classes and members that one task remembers to have sent.
+#: Classes that one task remembers to have sent.
 REMEMBERED = 1 << 18
 
 
@@ -65,104 +75,136 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(classes, counts), tokens.view(np.uint64).ravel()
 
 
-def _shared(blobs: list[bytes], part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, class and frequency of every token that more than one class has, of one range."""
+def _entries(blobs: list[bytes], shared: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Token and class of every entry, in order and once each: the same class may come from several tasks. With ``shared``
+    without tokens of one entry."""
     parts = [_unpack(b) for b in blobs]
     classes, tokens = np.concatenate([c for c, _ in parts]), np.concatenate([t for _, t in parts])
-    order = np.argsort(tokens)
-    tokens = tokens[order]
-    same = tokens[1:] == tokens[:-1]
-    several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    tokens, classes = tokens[several], classes[order][several]
-    order = np.lexsort((classes, tokens))  # the same class may come from several tasks
+    if shared:
+        order = np.argsort(tokens)
+        tokens = tokens[order]
+        same = tokens[1:] == tokens[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(tokens) else np.zeros(0, bool)
+        tokens, classes = tokens[several], classes[order[several]]
+    order = np.lexsort((classes, tokens))
     tokens, classes = tokens[order], classes[order]
-    if len(tokens):
-        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])))
-        tokens, classes = tokens[new], classes[new]
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        count = np.diff(np.append(starts, len(tokens)))
-        frequency = np.repeat(count, count)
-        tokens, classes, frequency = tokens[frequency > 1], classes[frequency > 1], frequency[frequency > 1]
-    else:
-        frequency = np.zeros(0, np.int64)
-    return (tokens | np.uint64(part << 48)).view(np.int64), classes, frequency
-
-
-def _scan(docs: DataFrame, k: int, ranges: int) -> DataFrame:
-    """doc_id, n, class of every document (part NULL), and class, token, frequency of shared tokens (part NOT NULL)."""
-    bits = ranges.bit_length() - 1
-    names = ["doc_id", "n", "class", "part", "blob"]
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, sent = Powers(), set()
-        held: list[np.ndarray] = []
-        ids: list[int] = []
-
-        def blobs() -> pa.RecordBatch:
-            tokens = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-            part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            tokens, owner, ends = tokens[order], owner[order], np.concatenate(([0], np.cumsum(np.bincount(part, minlength=ranges))))
-            there, packed, class_of = np.flatnonzero(np.diff(ends)), [], np.array(ids, np.int64)
-            for p in there:
-                own = owner[ends[p] : ends[p + 1]]
-                at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                packed.append(_pack(class_of[own[at]], np.diff(np.append(at, len(own))), tokens[ends[p] : ends[p + 1]]))
-            none = pa.nulls(len(there), pa.int64())
-            held.clear()
-            ids.clear()
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(there.astype(np.int32)), pa.array(packed, pa.binary())], names)
+    new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1]))) if len(tokens) else np.zeros(0, bool)
+    return tokens[new], classes[new]
+
+
+def _shared(blobs: list[bytes], part: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, class and frequency of every token that more than one class has, of range ``part`` of 2 ** ``bits``.
+
+    The range is the token's high bits. With up to 16 bits of range all 48 that were sent are below them, with more the
+    upper ones of the 48 say the same as the range."""
+    tokens, classes = _entries(blobs, True)
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+    count = np.diff(np.append(starts, len(tokens)))
+    frequency = np.repeat(count, count)
+    several = frequency > 1
+    below = np.uint64((1 << min(48, 64 - bits)) - 1)
+    whole = (tokens[several] & below) | np.uint64(part << (64 - bits))
+    return whole.view(np.int64), classes[several], frequency[several]
+
+
+def _held_windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch | None, list[int], list[int | None], list[np.ndarray], list[int]]]:
+    """For each batch (doc_id, text bytes) set sizes and classes; after some batches, and at the end, the window of the
+    sets of classes that this task hasn't had yet, with their ids."""
+    powers, sent = Powers(), set()
+    held: list[np.ndarray] = []
+    ids: list[int] = []
+    waiting = 0
+    for batch in batches:
+        texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
+        sizes: list[int] = []
+        classes: list[int | None] = []
+        for tokens in shingle_sets(texts, k, powers):
+            sizes.append(len(tokens))
+            own = set_id(tokens) if len(tokens) else None
+            classes.append(own)
+            if own is not None and own not in sent:
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                sent.add(own)
+                held.append(tokens)
+                ids.append(own)
+                waiting += len(tokens)
+                if waiting >= HELD_TOKENS:
+                    yield None, [], [], held, ids
+                    held, ids, waiting = [], [], 0
+        yield batch, sizes, classes, [], []
+    if held:
+        yield None, [], [], held, ids
+    sent.clear()
+
+
+def _bytes_of(docs: DataFrame) -> DataFrame:
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+
+
+def _survey(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, class of every document (times NULL), and token, times for what windows note (times NOT NULL)."""
+    names = ["doc_id", "n", "class", "token", "times"]
 
-        for batch in batches:
-            texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
-            sizes, classes, waiting = [], [], sum(map(len, held))
-            for tokens in shingle_sets(texts, k, powers):
-                sizes.append(len(tokens))
-                own = set_id(tokens) if len(tokens) else None
-                classes.append(own)
-                if own is not None and own not in sent:
-                    if len(sent) > REMEMBERED:
-                        sent.clear()
-                    sent.add(own)
-                    held.append(tokens)
-                    ids.append(own)
-                    waiting += len(tokens)
-                    if waiting >= HELD_TOKENS:
-                        yield blobs()
-                        waiting = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names)
-        if held:
-            yield blobs()
-        sent.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sizes, classes, held, _ in _held_windows(batches, k):
+            if batch is not None:
+                none = pa.nulls(len(sizes), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none], names)
+            else:
+                tokens = np.sort(np.concatenate(held))
+                starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+                times = np.diff(np.append(starts, len(tokens)))
+                noted = times >= NOTED
+                none = pa.nulls(int(noted.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[starts[noted]].view(np.int64)), pa.array(times[noted].astype(np.int64))], names)
         release_memory()
 
-    # Rows of documents go through the exchange packed as well, dealt by a number of their task's batch.
-    def pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(sets(batches)):
-            if batch.num_rows and batch.column(3).null_count:
-                table_ = pa.Table.from_batches([batch.select(["doc_id", "n", "class"])])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, table_.schema) as writer:
-                    writer.write_table(table_)
-                first = batch.column(2)[0].as_py() or number
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - first % ranges], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "blob"])
-            elif batch.num_rows:
-                yield batch.select(["part", "blob"])
+    return _bytes_of(docs).mapInArrow(run, "doc_id long, n long, class long, token long, times long")
+
+
+def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
+    """class, token, frequency of shared tokens. ``hot`` holds the sorted hot tokens and their frequencies."""
+    bits = ranges.bit_length() - 1
+
+    def blobs(held: list[np.ndarray], ids: list[int], known: np.ndarray) -> pa.RecordBatch:
+        tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+        class_of = np.array(ids, np.int64)
+        part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            is_hot = known[place] == tokens
+            # Hot tokens go by their place in the list, to the ranges 2 ** bits and up by class.
+            tokens = np.where(is_hot, place.astype(np.uint64), tokens)
+            part = np.where(is_hot, ranges + class_of[owner] % ranges, part)
+        order = np.argsort(part, kind="stable")
+        tokens, owner, part = tokens[order], owner[order], part[order]
+        begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        ends, packed = np.append(begins[1:], len(part)), []
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            own = owner[a:b]
+            at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            packed.append(_pack(class_of[own[at]], np.diff(np.append(at, len(own))), tokens[a:b]))
+        return pa.RecordBatch.from_arrays([pa.array(part[begins].astype(np.int32)), pa.array(packed, pa.binary())], ["part", "blob"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, held, ids in _held_windows(batches, k):
+            if batch is None:
+                yield blobs(held, ids, hot.value[0])
+        release_memory()
 
     def reduce(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        part, blobs = key[0].as_py(), rows.column("blob").to_pylist()
-        if part < 0:
-            found = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
-            none = pa.nulls(len(found), pa.int64())
-            return pa.table({"doc_id": found["doc_id"], "n": found["n"], "class": found["class"], "token": none, "frequency": none, "is_token": pa.array(np.zeros(len(found), bool))})
-        tokens, classes, frequency = _shared(blobs, part)
-        none = pa.nulls(len(tokens), pa.int64())
-        return pa.table({"doc_id": none, "n": none, "class": pa.array(classes), "token": pa.array(tokens), "frequency": pa.array(frequency.astype(np.int64)), "is_token": pa.array(np.ones(len(tokens), bool))})
+        part, sent = key[0].as_py(), rows.column("blob").to_pylist()
+        if part < ranges:
+            tokens, classes, frequency = _shared(sent, part, bits)
+        else:
+            places, classes = _entries(sent, False)
+            places = places.astype(np.int64)
+            tokens, frequency = hot.value[0][places].view(np.int64), hot.value[1][places]
+        return pa.table({"class": pa.array(classes), "token": pa.array(tokens), "frequency": pa.array(frequency.astype(np.int64))})
 
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    packed = rows.mapInArrow(pack_documents, "part int, blob binary")
-    return packed.groupBy("part").applyInArrow(reduce, "doc_id long, n long, class long, token long, frequency long, is_token boolean")
+    packed = _bytes_of(docs).mapInArrow(send, "part int, blob binary")
+    return packed.groupBy("part").applyInArrow(reduce, "class long, token long, frequency long")
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -233,8 +275,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links a-b."""
+def _local_roots(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """The first node of each node's component under the links a-b."""
     root = list(range(nodes))
 
     def find(x: int) -> int:
@@ -243,34 +285,102 @@ def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         p, q = find(x), find(y)
         if p != q:
             root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    return np.array([find(x) for x in range(nodes)], np.int64)
+
+
+def _sorted_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], pa.Table]:
+    """Classes, sizes and token sets of the rows in order of class."""
+    rows = rows.combine_chunks().sort_by("class")
+    return rows.column("class").to_numpy(), rows.column("n").to_numpy(), [x.values.to_numpy() for x in rows.column("tokens")], rows
+
 
+def _verify_chunks(sets: DataFrame, percent: int) -> DataFrame:
+    """For each member of a chunk (columns cluster, chunk, pivot, class, n, tokens) the smallest class that it links with
+    through the chunk and its pivots, and its Jaccard distances to those (``pivot`` numbers them, NULL for members)."""
 
-def _verify(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: a spanning forest of the links in each pair of chunks (columns cluster, i, j, chunk, class, n, tokens)."""
+    def run(rows: pa.Table) -> pa.Table:
+        ids, n, tokens, rows = _sorted_sets(rows)
+        pivot = rows.column("pivot").to_numpy(zero_copy_only=False)
+        is_pivot = ~np.isnan(pivot.astype(float))
+        common = overlaps(tokens, tokens)
+        union = n[:, None] + n[None, :] - common
+        a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))
+        roots = _local_roots(a, b, len(ids))
+        member = np.flatnonzero(~is_pivot)
+        order = np.flatnonzero(is_pivot)[np.argsort(pivot[is_pivot].astype(float))]
+        distance = 1 - common[member][:, order] / union[member][:, order]
+        ends = np.arange(len(member) + 1, dtype=np.int32) * len(order)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(distance.ravel().astype(np.float64)))
+        # A pivot is a member of some chunk too; here it stands beside itself, so ids may repeat.
+        return pa.table({"cluster": pa.array(np.repeat(rows.column("cluster")[0].as_py(), len(member)).astype(np.int64)), "node": pa.array(ids[member]), "root": pa.array(ids[roots[member]]), "far": lists})
+
+    return sets.groupBy("cluster", "chunk").applyInArrow(run, "cluster long, node long, root long, far array<double>")
+
+
+def _verify_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between the two chunks of each pair (columns x, y, chunk, class, n, tokens), as stars."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        ids, n, chunk = (rows.column(c).to_numpy() for c in ("class", "n", "chunk"))
-        sets_ = [x.values.to_numpy() for x in rows.column("tokens")]
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        left = np.flatnonzero(chunk == i)
-        right = left if i == j else np.flatnonzero(chunk == j)
+        ids, n, tokens, rows = _sorted_sets(rows)
+        chunk = rows.column("chunk").to_numpy()
+        left = np.flatnonzero(chunk == rows.column("x")[0].as_py())
+        right = np.flatnonzero(chunk == rows.column("y")[0].as_py())
         if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        common = overlaps([sets_[x] for x in left], [sets_[x] for x in right])
-        linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
-        a, b = np.nonzero(np.triu(linked, 1) if i == j else linked)
-        edges = _forest(left[a], right[b], len(ids))
-        return pa.table({"a": pa.array(ids[[x for x, _ in edges]] if edges else [], pa.int64()), "b": pa.array(ids[[y for _, y in edges]] if edges else [], pa.int64())})
-
-    return sets.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+        common = overlaps([tokens[i] for i in left], [tokens[i] for i in right])
+        a, b = np.nonzero(100 * common >= percent * (n[left][:, None] + n[right][None, :] - common))
+        roots = _local_roots(left[a], right[b], len(ids))
+        own = np.flatnonzero(roots != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[roots[own]]), "b": pa.array(ids[own])})
+
+    return sets.groupBy("x", "y").applyInArrow(run, "a long, b long")
+
+
+def _across(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links across the components ``linked`` of one cluster, if any clusters of several chunks have several.
+
+    ``members`` holds cluster, node and distances to pivots. A class's cell is the distance to two pivots in steps of
+    1 - t: linked classes are in the same or adjacent ones. Classes of a component that has more than CHUNK of a cell's
+    classes are chunked apart from the others, so that pairs of its own chunks needn't be looked at again."""
+    named = members.filter(F.size("far") > 0).select("cluster", "node", "far").join(linked, "node", "left").select("cluster", "node", "far", F.coalesce("root", "node").alias("label"))
+    open_ = named.groupBy("cluster").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).filter("least <> most")
+    open_ = scratch(open_.select("cluster", "size"))
+    if open_.isEmpty():
+        forget(open_)
+        return None
+    # Steps a little wider than 1 - t, so that rounding can't part linked classes by two.
+    step = 1 - percent / 100 + 1e-6
+    cell = [F.floor(F.coalesce(F.get("far", F.lit(i)), F.lit(0.0)) / step).cast("int") for i in (0, 1)]
+    total = members.count()
+    rows = left_join_groups(named.withColumn("p", cell[0]).withColumn("q", cell[1]), open_, "cluster", "size", total, F.col("node")).filter("size is not null")
+    rows = scratch(rows.select("cluster", "node", "label", "p", "q"))
+    own = rows.groupBy("cluster", "p", "q", "label").agg(F.count(F.lit(1)).alias("classes"))
+    own = own.withColumn("apart", F.when(F.col("classes") > CHUNK, F.col("label")))
+    cells = own.groupBy("cluster", "p", "q", "apart").agg(F.sum("classes").alias("classes"))
+    cells = scratch(cells.withColumn("chunks", F.ceil(F.col("classes") / CHUNK).cast("int")).withColumn("cell", F.xxhash64("cluster", "p", "q", "apart")))
+    # Components that are chunked apart are those rows of ``own``; a row finds its cell by them.
+    big = own.filter("apart is not null").select(F.xxhash64("cluster", "p", "q", "label").alias("own"), F.col("label").alias("apart"), F.col("classes").alias("hits"))
+    rows = left_join_groups(rows.withColumn("own", F.xxhash64("cluster", "p", "q", "label")), big, "own", "hits", total, F.col("node"))
+    rows = scratch(rows.select("node", F.xxhash64("cluster", "p", "q", "apart").alias("cell")))
+
+    one = cells.select("cluster", "p", "q", "apart", "cell", "chunks")
+    two = one.select(F.col("cluster").alias("cluster2"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("apart").alias("apart2"), F.col("cell").alias("cell2"), F.col("chunks").alias("chunks2"))
+    near = one.join(two, F.expr("cluster = cluster2 AND abs(p - p2) <= 1 AND abs(q - q2) <= 1 AND cell <= cell2 AND NOT coalesce(apart = apart2, false)"))
+    near = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks2") - 1)))
+    pairs = near.filter("cell < cell2 OR i <= j").select(F.xxhash64("cell", "i").alias("x"), F.xxhash64("cell2", "j").alias("y"))
+    pairs = scratch(pairs)
+    wanted = pairs.select(F.col("x").alias("chunk"), "x", "y").union(pairs.select(F.col("y").alias("chunk"), "x", "y")).distinct()
+
+    placed = left_join_groups(rows, cells.select("cell", "chunks", "classes"), "cell", "classes", total, F.col("node"))
+    placed = placed.select("node", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).alias("chunk"))
+    placed = placed.join(sets, placed["node"] == sets["class"]).select("chunk", "class", "n", "tokens")
+    found = scratch(_verify_pairs(placed.join(wanted, "chunk").select("x", "y", "chunk", "class", "n", "tokens"), percent))
+    forget(open_, cells, rows, pairs)
+    return found
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -283,44 +393,85 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id of the component).
     """
-    ranges = blocks_for(docs.count(), RANGE_ROWS, least=16)
-    scanned = scratch(_scan(docs, words, ranges))
-    members = scanned.filter("not is_token").select("doc_id", "n", "class")
-    total = members.count()
+    spark = docs.sparkSession
+    surveyed = scratch(_survey(docs, words))
+    members = surveyed.filter("times is null").select("doc_id", "n", "class")
     classes = scratch(members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
-
-    shared = scanned.filter("is_token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("frequency", "token"))).alias("all"))
+    total, sent = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    noted = surveyed.filter("times is not null").groupBy("token").agg(F.sum("times").alias("times"))
+    hot = noted.filter(F.col("times") >= max(HOT_CLASSES, -(-sent // HOT_PART))).toArrow().combine_chunks()
+    order = np.argsort(hot.column("token").to_numpy().view(np.uint64))
+    listed = (hot.column("token").to_numpy().view(np.uint64)[order], hot.column("times").to_numpy()[order])
+
+    scanned = scratch(_scan(docs, words, blocks_for(tokens, RANGE_TOKENS, least=16), spark.sparkContext.broadcast(listed)))
+    shared = scanned.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("frequency", "token"))).alias("all"))
     shared = shared.join(classes.select("class", "n"), "class").filter(F.size("all") * 100 >= F.col("n") * percent)
     sets = scratch(shared.select("class", "n", F.col("all.token").alias("tokens"), F.col("all.frequency").alias("frequencies")))
+    forget(scanned)
 
     entries = scratch(_index(sets, percent))
     stars = entries.groupBy("entry").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    edges = entries.join(stars, "entry").filter("class <> a").select("a", F.col("class").alias("b"))
+    edges = left_join_groups(entries, stars, "entry", "size", entries.count(), F.col("class")).filter("class <> a").select("a", F.col("class").alias("b"))
     clusters = scratch(components(edges))
+    forget(entries)
 
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), chunks.alias("chunks"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("node", "cluster", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    found = _verify(placed.join(sets, placed["node"] == sets["class"]).select("cluster", "i", "j", "chunk", "class", "n", "tokens"), percent)
-    linked = scratch(components(found))
+    linked = _linked(clusters, sets, percent)
+    forget(sets, clusters)
 
     # The component's smallest doc_id, by class; classes that link with nothing are their own.
     named = classes.join(linked, classes["class"] == linked["node"], "left").select("class", "least_id", "copies", F.coalesce("root", "class").alias("root"))
-    smallest = named.filter("root is not null").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = scratch(named.join(smallest, "root").select("class", "copies", "component_id"))
+    smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    named = scratch(left_join_groups(named, smallest, "root", "size", classes.count(), F.col("class")).select("class", "copies", "component_id"))
+    forget(linked, classes)
     out = left_join_groups(members, named, "class", "copies", total, F.col("doc_id"))
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _linked(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, root``: components of the links within ``clusters`` (node, root) of candidates."""
+    total = clusters.count()
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    placed = left_join_groups(clusters, sizes, "root", "size", total, F.col("node"))
+    placed = placed.select("node", F.col("root").alias("cluster"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    member = placed.select("node", "cluster", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(None).cast("int").alias("pivot"))
+    # Pivots: the node with the smallest hash of each residue class.
+    hashed = F.xxhash64(F.lit(5), "node")
+    pivots = placed.filter("chunks > 1").groupBy("cluster", "chunks", F.pmod(hashed, F.lit(PIVOTS)).cast("int").alias("pivot")).agg(F.min(F.struct(hashed.alias("h"), "node"))["node"].alias("node"))
+    member = member.join(sets, member["node"] == sets["class"]).select("cluster", "chunk", "pivot", "class", "n", "tokens")
+    pivots = pivots.join(sets, pivots["node"] == sets["class"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    verified = scratch(_verify_chunks(member.union(pivots.select("cluster", "chunk", "pivot", "class", "n", "tokens")), percent))
+    first = verified.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    linked = scratch(components(first))
+    more = _across(verified, linked, sets, percent)
+    if more is not None:
+        before, linked = linked, scratch(components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)))
+        forget(before, more)
+    forget(verified)
+    return linked
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with its smallest doc_id, with its columns. Rows without doc_id stay."""
-    found = jaccard_components(docs, words, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id"))
-    return without(docs.withColumn("_id", F.col("doc_id").cast("long")), found, "_id").drop("_id")
+    """One document of each component, the one with its smallest doc_id, with its columns, whatever their names. Rows
+    without doc_id stay, and so do texts without words; repeated rows of the id that stays all do. An empty table gives
+    an empty result."""
+    found = jaccard_components(docs, words, percent).filter("component_id <> doc_id").select("doc_id")
+    return split_by_keys(docs, found, {"doc_id": F.col("doc_id").cast("long")}, 16)[0]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+named AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS c, s FROM sets),
+classes AS (SELECT c, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS least FROM named WHERE c IS NOT NULL GROUP BY c),
+tokens AS (SELECT c, n, unnest(s) AS t FROM classes),
+links AS (SELECT a.c AS a, b.c AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(c, root) AS (SELECT c, c FROM classes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.c),
+roots AS (SELECT r.c, min(k.least) AS component_id FROM reach r JOIN classes k ON k.c = r.root GROUP BY r.c)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, coalesce(r.component_id, m.doc_id) AS component_id FROM named m LEFT JOIN roots r ON r.c = m.c
+"""
