@@ -6,12 +6,12 @@
    each block of quotients.
 3. Slices of a block meet in one task and merge by their sorted remainders: runs are concatenated in order and the
    counters of equal remainders added. Nothing is lost, so a merged counter is the fingerprint's count in the corpus.
-4. Fingerprints counted once are unique texts. The rest go to byte verification: only their texts are read again and
-   grouped by all their bytes, partially aggregated before the shuffle, so a copy group sends one row from each task.
+4. Fingerprints counted once are unique texts. The rest go to byte verification: a bitmap of them, of bounded size, tells
+   the scan which texts to send on, and those are grouped by all their bytes, partially aggregated before the shuffle, so
+   a copy group sends one row from each task. Where the bitmap lets a unique text through, it is a group of one.
 
 A block holds a bounded number of distinct fingerprints whatever the corpus size, since the number of blocks follows
-the number of rows. No fingerprints come to the driver, and a broadcast list of them is only used below
-``BROADCAST_ROWS``.
+the number of rows. No fingerprints come to the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import BROADCAST_ROWS, SPACES, blocks_for, left_join_groups, scratch, without
+from rowmill.llm.common import SPACES, blocks_for, forget, fresh, left_join_groups, perhaps_among, scratch, split_by_keys
 from rowmill.session import table
 
 FINGERPRINT_BITS = 60
@@ -81,17 +81,28 @@ class CountingQuotientFilter:
         return cls._of_sorted(one.quotient_bits, fingerprints[order], counters[order], one.first, len(one.runs))
 
     def to_bytes(self) -> bytes:
-        head = struct.pack("<IQII", self.quotient_bits, self.first, len(self.runs), len(self.remainders))
-        return head + self.runs.tobytes() + self.remainders.tobytes() + self.counters.astype(np.uint32).tobytes()
+        """Remainders take the whole bytes that their bits need, counters those of the largest one."""
+        wide, tall = (self.remainder_bits + 7) // 8, max(1, -(-int(self.counters.max(initial=1)).bit_length() // 8))
+        head = struct.pack("<IQIIB", self.quotient_bits, self.first, len(self.runs), len(self.remainders), tall)
+        return head + self.runs.tobytes() + _low_bytes(self.remainders, wide) + _low_bytes(self.counters, tall)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
-        quotient_bits, first, runs, n = struct.unpack_from("<IQII", data)
-        at = struct.calcsize("<IQII")
-        return cls(
-            quotient_bits, np.frombuffer(data, np.uint32, runs, at), np.frombuffer(data, np.uint64, n, at + 4 * runs),
-            np.frombuffer(data, np.uint32, n, at + 4 * runs + 8 * n).astype(np.uint64), first,
-        )
+        quotient_bits, first, runs, n, tall = struct.unpack_from("<IQIIB", data)
+        at = struct.calcsize("<IQIIB")
+        middle = at + 4 * runs
+        wide = (FINGERPRINT_BITS - quotient_bits + 7) // 8
+        return cls(quotient_bits, np.frombuffer(data, np.uint32, runs, at), _from_low_bytes(data, middle, n, wide), _from_low_bytes(data, middle + n * wide, n, tall), first)
+
+
+def _low_bytes(numbers: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(numbers, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_low_bytes(data: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+    return out.view(np.uint64).ravel()
 
 
 def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
@@ -138,43 +149,48 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ids = scratch(docs.select(F.col(doc_id).cast("long").alias("id"), F.sha2(normal, 256).alias("sha"), fingerprint.alias("fp")).withColumn("row", F.monotonically_increasing_id()))
     total = ids.count()
     repeated = scratch(repeated_fingerprints(ids, total))
-    few = repeated.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(repeated.select("fp")) if few else repeated.select("fp")
-
-    texts = docs.select(fingerprint.alias("fp"), normal.alias("normal"))
-    if not few:  # one row a text and task goes through the join, however large the group
-        texts = texts.groupBy("fp", "normal", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("part_n"))
-    else:
-        texts = texts.withColumn("part_n", F.lit(1).cast("long"))
-    verified = texts.join(wanted, "fp", "left_semi").groupBy("fp", "normal").agg(F.sum("part_n").alias("group_size"))
+    listed = repeated.count()
+
+    texts = perhaps_among(docs.select(fingerprint.alias("fp"), normal.alias("normal")), F.col("fp"), repeated, "fp", listed, "perhaps").filter("perhaps")
+    verified = texts.groupBy("fp", "normal").agg(F.count(F.lit(1)).alias("group_size"))
     verified = scratch(verified.filter("group_size > 1").select(F.sha2("normal", 256).alias("sha"), "group_size"))
 
     # Smallest (id, row) as one number, so that the aggregate stays a hash aggregate; rows without an id come last.
     rank = F.expr("cast(coalesce(id, 9223372036854775807) as decimal(38, 0)) * cast(9223372036854775808 as decimal(19, 0)) + row").cast("decimal(38, 0)")
-    copies = ids.join(wanted, "fp", "left_semi") if few else ids
+    copies = perhaps_among(ids, F.col("fp"), repeated, "fp", listed, "perhaps").filter("perhaps")
     first = copies.select("sha", "id", rank.alias("rank")).groupBy("sha").agg(F.min("rank").alias("rank"), F.min("id").alias("keep_id"))
-    groups = verified.join(first, "sha")
+    groups = scratch(verified.join(first, "sha"))
+    forget(repeated, verified)
     out = left_join_groups(ids.select("id", "sha", "row"), groups, "sha", "group_size", total, F.col("row"))
-    own = F.expr("cast(coalesce(id, 9223372036854775807) as decimal(38, 0)) * cast(9223372036854775808 as decimal(19, 0)) + row").cast("decimal(38, 0)")
     return out.select(
         F.col("id").alias("doc_id"),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("rank").isNull() | (F.col("rank") == own)).alias("kept"),
+        (F.col("rank").isNull() | (F.col("rank") == rank)).alias("kept"),
         F.col("sha").alias("text_sha256"),
         F.col("row").alias("row"),
     ).drop("row")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, with its columns."""
-    found = scratch(exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "), 256))
-    one = found.groupBy("_id", "_sha").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    out = without(rows, one.filter("not kept"), "_id", "_sha")
-    if not one.filter("kept and n > 1").isEmpty():  # repeated rows, id and all
-        out = out.dropDuplicates(["_id", "_sha"])
-    return out.drop("_id", "_sha")
+    """One row of each group of equal texts, the one with the smallest doc_id, with its columns, whatever their names.
+
+    NULL and empty texts are one group. Of repeated rows, equal in doc_id and text, any one stays; of a group without
+    ids any one. An empty table gives an empty result. Decisions travel by id and digest: texts are only shuffled where
+    rows repeat, or where more rows are dropped than a broadcast may hold and a bitmap can't tell that a row stays.
+    """
+    found = scratch(exact_dedup(docs).select(F.col("doc_id").alias("id"), "keep_id", "kept", F.unhex("text_sha256").alias("sha")))
+    sha = F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "), 256))
+    keys = {"id": F.col("doc_id").cast("long"), "sha": sha}
+    # Beside the kept row, a row with its id is its repetition.
+    again = found.filter(~F.col("kept") & F.col("id").eqNullSafe(F.col("keep_id")))
+    out, _ = split_by_keys(docs, found.filter(~F.col("kept") & ~F.col("id").eqNullSafe(F.col("keep_id"))), keys, 64)
+    if not again.isEmpty():
+        out, repeated = split_by_keys(out, again, keys, 64)
+        names = [fresh(docs, f"_{c}") for c in keys]
+        out = out.unionAll(repeated.withColumns(dict(zip(names, keys.values(), strict=True))).dropDuplicates(names).drop(*names))
+    forget(found)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
