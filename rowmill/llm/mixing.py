@@ -1,8 +1,8 @@
 """Mixing sources to target weights by capped water-filling.
 
-Sources get words in proportion to their weights; one that would exceed ``epochs`` times its own size is clamped
-there and its excess goes to the others by weight, until none is above. That fixed point is found in closed form: with
-sources in order of cap / weight, the clamped ones are a prefix, so the water level follows from running sums.
+Sources get words in proportion to their weights; those that would exceed ``epochs`` times their own size are clamped
+there and their excess goes to the others by weight, until none is above. Each round is one aggregate over the sources,
+whose sums of whole numbers are exact in any order; the level of words a weight only rises, so few rounds are needed.
 
 Within a source, each document is repeated as often as the target's whole part says, and the fractional part takes
 documents in a seeded order up to the words still missing (the document on the border partly). The order is hashed
@@ -14,35 +14,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import BROADCAST_ROWS, WORD, blocks_for, scratch
+from rowmill.llm.common import BROADCAST_BYTES, WORD, blocks_for, columns_of, forget, fresh, left_join_groups, scratch, with_rank
 from rowmill.session import table
 
 #: Documents that a bucket is meant for, and the fewest buckets of a source.
-BUCKET_ROWS, LEAST_BUCKETS = 1 << 14, 16
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 12, 64
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
     """Targets of ``sources`` (columns name, missing, source_size: one row a source; NULL names have ``missing``).
 
-    Weights repeat over the sources in code point order, NULL last. Targets sum to ``share`` times all sizes. Adds
-    weight and target. The windows here run over one row a source, not over documents.
+    Weights (whole numbers) repeat over the sources in code point order, NULL last. Targets sum to ``share`` times all
+    sizes, or to all caps where that is less. A source of size 0 has target 0; a table without sources gives none. Adds
+    weight and target to the columns.
     """
-    by_name = sources.withColumn("rank", F.row_number().over(Window.orderBy("missing", "name")))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("double")
-    rows = by_name.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * epochs).cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    everything = Window.partitionBy()
-    rows = rows.select(
-        "*",
-        (F.sum("source_size").over(everything) * F.lit(share)).alias("budget"),
-        F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("clamped"),
-        F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("open_weight"),
-    )
-    # The level if all sources before this one are clamped; the first source whose cap lies above it ends the prefix.
-    level = (F.col("budget") - F.col("clamped")) / F.col("open_weight")
-    rows = rows.withColumn("level", F.when(F.col("cap") >= level * F.col("weight"), level))
-    rows = rows.withColumn("level", F.min(F.struct(F.col("level").isNull().alias("no"), F.col("cap") / F.col("weight"), F.col("rank"), F.col("level"))).over(everything)["level"])
-    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    rows = scratch(with_rank(sources, "missing", "name").withColumn("weight", weight).withColumn("cap", F.col("source_size") * epochs))
+    budget = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    level, clamped = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        sums = rows.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if sums[0] == clamped or not sums[2]:
+            break
+        clamped, level = sums[0], (budget - (sums[1] or 0)) / sums[2]
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
     return rows.select("name", "missing", "source_size", "weight", target.alias("target"))
 
 
@@ -51,22 +47,26 @@ def _source(source: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("missing")
 
 
-def _order(doc_id: Column, seed: int, buckets: int) -> tuple[Column, Column]:
-    """Bucket of a row and its place in the bucket's seeded order."""
-    return F.pmod(F.xxhash64(F.lit(seed + 1), doc_id), F.lit(buckets)), F.xxhash64(F.lit(seed), doc_id)
+def _order(doc_id: Column, text: Column, seed: int) -> Column:
+    """A row's place in the seeded order of its source."""
+    return F.xxhash64(F.lit(seed), doc_id, text)
+
+
+def _bucket(order: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(order), F.lit(buckets))
 
 
 def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int, seed: int, text: str, doc_id: str, source: str) -> tuple[DataFrame, DataFrame, int]:
     """Rows with size, order and bucket; for each bucket of a source its size, where it starts in the source's order, the
-    source's size and target, and of that the ``whole`` repetitions and the ``extra`` words; and the number of buckets."""
+    source's size, rows and target, and of that the ``whole`` repetitions and the ``extra`` words; and the number of buckets."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch(docs.select(F.col(doc_id).alias("doc_id"), *_source(source), size.alias("size")))
+    rows = scratch(docs.select(F.col(doc_id).alias("doc_id"), *_source(source), size.alias("size"), _order(F.col(doc_id), F.col(text), seed).alias("order")))
     buckets = blocks_for(rows.count(), BUCKET_ROWS, LEAST_BUCKETS)
-    bucket, order = _order(F.col("doc_id"), seed, buckets)
-    rows = rows.withColumn("order", order).withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", _bucket(F.col("order"), buckets))
 
-    sums = scratch(rows.groupBy("name", "missing", "bucket").agg(F.sum("size").alias("bucket_size")))
-    targets = water_fill(sums.groupBy("name", "missing").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs)
+    sums = scratch(rows.groupBy("name", "missing", "bucket").agg(F.sum("size").alias("bucket_size"), F.count(F.lit(1)).alias("bucket_rows")))
+    sources = sums.groupBy("name", "missing").agg(F.sum("bucket_size").alias("source_size"), F.sum("bucket_rows").alias("source_rows"))
+    targets = water_fill(sources, weights, share, epochs).join(sources.select("name", "missing", "source_rows"), ["name", "missing"])
     before = Window.partitionBy("name", "missing").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(targets, ["name", "missing"])
     starts = starts.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """
     rows, starts, _ = _dealt(docs, weights, share, epochs, seed, text, doc_id, source)
     inside = Window.partitionBy("name", "missing", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts.drop("bucket_size"), ["name", "missing", "bucket"])
+    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts.drop("bucket_size", "bucket_rows"), ["name", "missing", "bucket"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("start") - F.col("before")))
     return placed.select(
         "doc_id", F.when(~F.col("missing"), F.col("name")).alias("source"), "size", "source_size", "target",
@@ -93,31 +93,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 17) -> DataFrame:
-    """``docs`` as the mix has them: each row as often as it is taken, the one on a source's border once more if at
-    least half of it is. Rows that aren't taken go; so do those of size 0, which the mix takes no words of. Rows with the
-    same id stand on the same side of a border.
+    """``docs`` as the mix has them, with their columns, whatever their names: each row as often as it is taken, the one on a
+    source's border once more if at least half of it is. Rows that aren't taken go; so do NULL and empty texts and others of
+    size 0, which the mix takes no words of. Repeated rows stand on the same side of a border. An empty table gives an
+    empty result.
 
-    A source's order and its border, one row a source, say for each row how often it is taken, so texts aren't shuffled
-    (unless there are more than BROADCAST_ROWS sources).
+    A source's order and its border, one row a source, say for each row how often it is taken. Borders of up to
+    BROADCAST_BYTES are broadcast, so texts aren't shuffled; of more, only those of the hot sources are.
     """
     rows, starts, buckets = _dealt(docs, weights, share, epochs, seed, "text", "doc_id", "source")
     # The border lies in the first bucket, and on the first document of its order, that the extra words don't fill.
-    ends = starts.filter("start + bucket_size > extra").groupBy("name", "missing").agg(F.min(F.struct("bucket", "start", "extra", "whole")).alias("end"))
+    ends = starts.filter("start + bucket_size > extra").groupBy("name", "missing").agg(F.min(F.struct("bucket", "start", "extra", "whole", "source_rows")).alias("end"))
     ends = scratch(ends.select("name", "missing", "end.*"))
     inside = Window.partitionBy("name", "missing", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.join(ends, ["name", "missing", "bucket"]).withColumn("left", F.col("extra") - F.col("start") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
     first = F.min(F.struct("order", (-F.col("left")).alias("over"), (F.col("left") * 2 >= F.col("size")).alias("taken")))
-    borders = near.filter("size > left").groupBy("name", "missing", "bucket", "whole").agg(first.alias("first"))
-    borders = scratch(borders.select(F.col("name").alias("_name"), F.col("missing").alias("_missing"), F.col("bucket").alias("_end"), F.col("whole").alias("_whole"), F.col("first.order").alias("_order"), F.col("first.taken").alias("_taken")))
-
-    name, missing = _source("source")
-    bucket, order = _order(docs["doc_id"], seed, buckets)
-    few = borders.count() <= BROADCAST_ROWS
-    kept = docs.filter(F.col("text").rlike(WORD)).join(F.broadcast(borders) if few else borders, (name == F.col("_name")) & (missing == F.col("_missing")))
-    more = (bucket < F.col("_end")) | ((bucket == F.col("_end")) & ((order < F.col("_order")) | ((order == F.col("_order")) & F.col("_taken"))))
-    times = F.col("_whole") + F.when(more, 1).otherwise(0)
-    kept = kept.withColumn("_times", times.cast("int")).filter("_times > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    borders = near.filter("size > left").groupBy("name", "missing", "bucket", "whole", "source_rows").agg(first.alias("first"))
+    key, bucket, whole, order, taken, hits = (fresh(docs, f"_border_{c}") for c in ("key", "bucket", "whole", "order", "taken", "hits"))
+    # A source's key: its name behind a mark, or another mark alone for NULL.
+    named = F.when(F.col("missing"), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("name")))
+    borders = scratch(borders.select(named.alias(key), F.col("bucket").alias(bucket), F.col("whole").alias(whole), F.col("first.order").alias(order), F.col("first.taken").alias(taken), F.col("source_rows").alias(hits)))
+    forget(ends)
+
+    own = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("0"))
+    wide = borders.agg(F.sum(F.octet_length(key) + 64)).first()[0] or 0
+    kept = docs.filter(F.col("text").rlike(WORD)).withColumn(fresh(docs, "_own_key"), own)
+    if wide <= BROADCAST_BYTES:
+        kept = kept.join(F.broadcast(borders), F.col(fresh(docs, "_own_key")) == F.col(key))
+    else:
+        kept = left_join_groups(kept.withColumnRenamed(fresh(docs, "_own_key"), key), borders, key, hits, rows.count(), F.xxhash64("doc_id", "text")).filter(F.col(whole).isNotNull())
+    place = _order(F.col("doc_id"), F.col("text"), seed)
+    spot = _bucket(place, buckets)
+    more = (spot < F.col(bucket)) | ((spot == F.col(bucket)) & ((place < F.col(order)) | ((place == F.col(order)) & F.col(taken))))
+    times = (F.col(whole) + F.when(more, 1).otherwise(0)).cast("int")
+    return kept.select(*columns_of(docs), F.explode(F.array_repeat(F.lit(1), times)).alias(fresh(docs, "_copy"))).select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
