@@ -1,6 +1,8 @@
 """K-d tree partitioning into shards of nearly equal bytes.
 
-Every row becomes a point of numeric metadata (id, size, language, source). A node that has to become k leaves is split
+Every row becomes a point of numeric metadata (id, size, ranks of language and source among all their values). Rows of
+equal texts become one point, that of their smallest values, as long as together they are within the tolerance of a
+shard; larger groups are cut like other rows. A node that has to become k leaves is split
 along its widest dimension (extent relative to the whole table) at the weighted quantile that gives each side bytes in
 proportion to its leaves, until a node is one leaf of the target bytes. The quantile is found by distributed
 histograms of bytes over the dimension, refined inside the bin that holds it; equal coordinates are split further by
@@ -17,19 +19,22 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import blocks_for, scratch
+from rowmill.llm.common import BROADCAST_BYTES, blocks_for, forget, left_join_groups, scratch, with_rank
 from rowmill.session import table
 
 #: Bins of a histogram pass.
 BINS = 1024
 #: A border may be off by this part of a leaf's bytes.
 TOLERANCE = 0.001
+#: Equal texts stay together up to this part of a leaf's bytes, or up to the largest row if that is more.
+TOGETHER = 0.02
 #: Rows that one block of a shard, numbered in one task, is meant for.
 SLOT_ROWS = 1 << 16
 
 DIMENSIONS = ("d_id", "d_size", "d_lang", "d_source")
 TIE = "tie"
 _TIE_TOP = (1 << 62) - 1
+_TOP = (1 << 63) - 1
 
 
 @dataclass
@@ -74,12 +79,16 @@ class _Search:
     def row(self) -> str:
         """The parameters of the next pass: node, dimension, fixed value of that dimension on a tie, range, bin width."""
         dimension = DIMENSIONS.index(self.node.dimension) + 1
-        return f"({self.node.first}, {dimension}, {'true' if self.on_tie else 'false'}, {self.node.value}L, {self.low}L, {self.high}L, {self.width()}L)"
+        # Differences of ids may exceed a long; halved twice, both sides fit.
+        shift = 0 if self.high - self.low < 1 << 62 else 2
+        return f"({self.node.first}, {dimension}, {'true' if self.on_tie else 'false'}, {self.node.value}L, {self.low}L, {self.high}L, {self.width() >> shift}L, {shift})"
 
     def cut(self, edge: int) -> None:
         self.done = True
         if self.on_tie:
             self.node.tie = edge
+        elif edge > _TOP:
+            self.node.value, self.node.tie = _TOP, _TIE_TOP + 1
         else:
             self.node.value, self.node.tie = edge, 0
 
@@ -105,10 +114,10 @@ class _Search:
 def _histogram(leaves: DataFrame, searches: str) -> DataFrame:
     """Bytes by node and bin for the searches of a pass. They come as a broadcast table of at most one row a node, not
     as literals, so that every pass runs the same compiled code."""
-    passed = leaves.sparkSession.sql(f"SELECT * FROM VALUES {searches} AS v(leaf, dimension, on_tie, value, low, high, width)")
+    passed = leaves.sparkSession.sql(f"SELECT * FROM VALUES {searches} AS v(leaf, dimension, on_tie, value, low, high, width, shift)")
     rows = leaves.join(F.broadcast(passed), "leaf").withColumn("own", F.element_at(F.array(*DIMENSIONS), F.col("dimension")))
     rows = rows.withColumn("at", F.when(~F.col("on_tie"), F.col("own")).when(F.col("own") == F.col("value"), F.col(TIE)))
-    rows = rows.filter(F.col("at").between(F.col("low"), F.col("high"))).withColumn("bin", F.expr("(at - low) div width"))
+    rows = rows.filter(F.col("at").between(F.col("low"), F.col("high"))).withColumn("bin", F.expr("(shiftright(at, shift) - shiftright(low, shift)) div width"))
     return rows.groupBy("leaf", "bin").agg(F.sum("size").alias("bytes"), F.min("at").alias("least"), F.max("at").alias("most"))
 
 
@@ -143,38 +152,64 @@ def build_tree(points: DataFrame, shards: int) -> Node:
     return root
 
 
-def _text_coordinate(c: Column) -> Column:
-    """The first seven bytes as a number, so that order is kept; -1 for NULL."""
-    head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def _with_text_rank(points: DataFrame, column: str, name: str, total: int) -> DataFrame:
+    """``points`` with the rank ``name`` of their ``column`` among all its values; -1 for NULL."""
+    values = points.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    ranked = scratch(with_rank(values, column).select(column, "rows", F.col("rank").alias(name)))
+    wide = ranked.agg(F.sum(F.octet_length(column) + 32)).first()[0] or 0
+    if wide <= BROADCAST_BYTES:
+        out = points.join(F.broadcast(ranked.drop("rows")), column, "left")
+    else:
+        out = left_join_groups(points, ranked, column, "rows", total, F.col("spread")).drop("rows")
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(-1)).cast("long"))
+
+
+def _points(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
+    """The rows as points, and their number."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("words"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+    )
+    # Rows without an id are told apart by their number.
+    rows = scratch(rows.withColumn("spread", F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "words"), 2)))
+    total, mass, largest = rows.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    points = _with_text_rank(_with_text_rank(rows, "lang", "d_lang", total), "source", "d_source", total)
+    points = scratch(points.select("doc_id", "size", "text_crc32", "words", "spread", F.coalesce("doc_id", F.lit(-1)).alias("d_id"), (F.col("size") - 8).alias("d_size"), "d_lang", "d_source"))
+    limit = int(max(TOGETHER * (mass or 0) / shards, largest or 0))
+    own = ("d_id", "d_lang", "d_source")
+    groups = points.groupBy("words").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("mass"), *(F.min(c).alias(f"least_{c}") for c in own)).filter("rows > 1")
+    points = left_join_groups(points, groups.withColumn("together", F.col("mass") <= limit), "words", "rows", total, F.col("spread"))
+    one = F.coalesce(F.col("together"), F.lit(False))
+    moved = [F.when(one, F.col(f"least_{c}")).otherwise(F.col(c)).alias(c) for c in own]
+    tie = F.when(one, F.shiftrightunsigned(F.xxhash64(F.col("words")), 2)).otherwise(F.col("spread"))
+    out = scratch(points.select("doc_id", "size", "text_crc32", "spread", "d_size", *moved, tie.alias(TIE)))
+    forget(rows)
+    return out, total
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Deal the documents out; one row for each row of ``docs``.
 
-    The law is ``bytes``: shards differ by about TOLERANCE of a shard's bytes at each border, and by a document where
-    one is larger than that. NULL texts and empty texts have size 8 and crc 0, NULL metadata sorts first, repeated rows
-    stand together on a border, and shards may stay empty where there are fewer rows than shards. Other columns are
+    The law is ``bytes``: shards differ by about TOLERANCE of a shard's bytes at each border, and by a document, or a group
+    of equal texts, where one is larger than that. Equal texts are in one shard if together they have at most TOGETHER of
+    a shard's bytes, or no more than the largest row. NULL texts and empty texts have size 8 and crc 0, NULL metadata sorts
+    first, repeated rows stand together on a border (but for those without an id), and shards may stay empty where
+    there are fewer rows than shards. Ids may be any longs. Other columns are
     not read. Slots number a shard's rows without gaps; which of two equal rows has which slot is arbitrary.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard. Built-in functions only.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    points = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d_id"), F.octet_length(text).cast("long").alias("d_size"),
-        _text_coordinate(F.col("lang")).alias("d_lang"), _text_coordinate(F.col("source")).alias("d_source"),
-    )
-    points = scratch(points.withColumn(TIE, F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 2)))
+    points, total = _points(docs, shards)
     tree = build_tree(points, shards)
 
     # Slots: a hash cuts each shard into blocks that are numbered on their own; block counts give their starts.
-    blocks = blocks_for(points.count(), SLOT_ROWS * shards)
-    placed = points.select("doc_id", "size", "text_crc32", TIE, _leaf_of(tree).alias("shard"), F.pmod(F.col(TIE), F.lit(blocks)).alias("block"))
+    blocks = blocks_for(total, SLOT_ROWS * shards)
+    placed = points.select("doc_id", "size", "text_crc32", "spread", _leaf_of(tree).alias("shard"), F.pmod(F.col("spread"), F.lit(blocks)).alias("block"))
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "block").orderBy(TIE, "doc_id", "size", "text_crc32")
+    inside = Window.partitionBy("shard", "block").orderBy("spread", "doc_id", "size", "text_crc32")
     slotted = placed.withColumn("slot", F.row_number().over(inside) - 1).join(starts, ["shard", "block"])
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
