@@ -5,12 +5,18 @@ other part becomes a placeholder ``<kind:number>`` and an attachment record (num
 
 The template of a turn is ``<turn:ROLE>`` newline TEXT ``</turn>`` newline. Texts and roles are escaped, so that no
 control string can occur inside them: ``\`` becomes ``\b``, ``<`` becomes ``\l`` and ``>`` becomes ``\g``. Every
-backslash of an escaped text starts an escape, so replacing ``\g``, ``\l`` and at last ``\b`` back is exact.
+backslash of an escaped text starts an escape, so replacing ``\g``, ``\l`` and at last ``\b`` back is exact. A placeholder
+is the only ``<`` in an escaped text, so it can't be confused with a text that says the same.
+
+Everything that runs through a conversation (numbers of attachments, offsets) is a running sum over its rows, so the
+work is in proportion to its turns and parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowmill.session import table
@@ -55,76 +61,96 @@ def expanded_tokens(part: Column) -> Column:
     return F.coalesce(known, F.lit(UNKNOWN_TOKENS)).cast("long")
 
 
-def _visit(turns: Column) -> Column:
-    """Turns (role, parts) to turns with flat text and numbered attachments, in one walk over a conversation.
-
-    ``before`` of a turn, the number of attachments that earlier turns have, numbers placeholders through it.
-    """
-
-    def one(before: Column, turn: Column) -> Column:
-        parts = F.coalesce(turn["parts"], F.array().cast(f"array<{PART}>"))
-        attached = F.filter(parts, lambda p: ~p["kind"].eqNullSafe("text"))
-
-        def place(part: Column, i: Column) -> Column:
-            earlier = F.size(F.filter(F.slice(parts, F.lit(1), i), lambda p: ~p["kind"].eqNullSafe("text")))
-            label = F.concat(F.lit("<"), escape(F.coalesce(part["kind"], F.lit("unknown"))), F.lit(":"), (before + earlier).cast("string"), F.lit(">"))
-            return F.when(part["kind"].eqNullSafe("text"), escape(F.coalesce(part["text"], F.lit("")))).otherwise(label)
-
-        records = F.transform(attached, lambda p, i: F.struct(
-            (before + i).cast("int").alias("number"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"),
-        ))
-        return F.struct(F.coalesce(turn["role"], F.lit("")).alias("role"), F.array_join(F.transform(parts, place), "").alias("flat"), records.alias("attached"))
-
-    counts = F.transform(turns, lambda t: F.size(F.filter(F.coalesce(t["parts"], F.array().cast(f"array<{PART}>")), lambda p: ~p["kind"].eqNullSafe("text"))))
-    return F.transform(turns, lambda t, i: one(F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda a, n: a + n), t))
+def _flat_turns(messages: DataFrame) -> DataFrame:
+    """conv_id, n (the turn's number), role, flat text and attachment records of every message."""
+    turn = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    rows = messages.select("conv_id", "turn", "role", "parts").withColumn("n", F.row_number().over(turn))
+    parts = rows.select("conv_id", "n", F.coalesce("role", F.lit("")).alias("role"), F.posexplode_outer("parts").alias("at", "part"))
+    is_text = F.col("at").isNull() | F.col("part.kind").eqNullSafe("text")
+    earlier = Window.partitionBy("conv_id").orderBy("n", "at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("number", F.coalesce(F.sum(F.when(is_text, 0).otherwise(1)).over(earlier), F.lit(0)).cast("int"))
+    label = F.concat(F.lit("<"), escape(F.coalesce("part.kind", F.lit("unknown"))), F.lit(":"), F.col("number").cast("string"), F.lit(">"))
+    piece = F.when(is_text, escape(F.coalesce("part.text", F.lit("")))).otherwise(label)
+    record = F.when(~is_text, F.struct("number", F.col("part.kind").alias("kind"), F.col("part.ref").alias("ref"), expanded_tokens(F.col("part")).alias("tokens")))
+    one = parts.select("conv_id", "n", "role", "at", piece.alias("piece"), record.alias("record"))
+    return one.groupBy("conv_id", "n", "role").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("at", "piece")))["piece"], "").alias("flat"),
+        F.sort_array(F.collect_list("record")).alias("attached"),
+    )
 
 
 def format_chats(messages: DataFrame, mask_role: str = "assistant") -> DataFrame:
     """Conversations from ``messages`` (conv_id, turn, role, parts); one row for each conv_id.
 
-    Turns stand by turn, then role and text, so ties and repeated rows have one order; NULL turns come first. NULL roles
-    and texts are empty; a message without parts is an empty turn; NULL is a conversation of its own; an empty table
-    gives an empty result. Other columns are not read. A conversation is one string, so it has to fit a task.
+    Turns stand by turn, then role and parts, so ties and repeated rows have one order; NULL turns come first. NULL roles
+    and texts are empty; a message without parts is an empty turn; a NULL part is an attachment of unknown kind; NULL
+    is a conversation of its own; an empty table gives an empty result. Other columns are not read. A conversation is one
+    string, so it has to fit a task.
 
-    Returns conv_id, formatted, spans (start and length in code points of each text under the loss mask, those of
-    ``mask_role``), attachments, attachment_tokens. Built-in functions only.
+    Returns conv_id, formatted, spans (start and length of each text under the loss mask, those of ``mask_role``, in code
+    points, and byte_start and byte_length in UTF-8), attachments, attachment_tokens. Built-in functions only.
     """
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "parts")))
-    chats = messages.groupBy("conv_id").agg(turns.alias("turns")).withColumn("turns", _visit(F.col("turns")))
-    head = lambda t: F.concat(F.lit("<turn:"), escape(t["role"]), F.lit(">\n"))
-    tail = "</turn>\n"
-    # Offsets are running sums of lengths, in one walk.
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, length: long>>").alias("spans"))
-
-    def step(state: Column, t: Column) -> Column:
-        begins, length = state["at"] + F.char_length(head(t)), F.char_length(t["flat"]).cast("long")
-        spans = F.when(t["role"] == mask_role, F.concat(state["spans"], F.array(F.struct(begins.alias("start"), length.alias("length"))))).otherwise(state["spans"])
-        return F.struct((begins + length + len(tail)).alias("at"), spans.alias("spans"))
-
-    attachments = F.flatten(F.transform("turns", lambda t: t["attached"]))
+    head, tail = F.concat(F.lit("<turn:"), escape(F.col("role")), F.lit(">\n")), F.lit("</turn>\n")
+    turns = _flat_turns(messages).withColumn("said", F.concat(head, "flat", tail))
+    earlier = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lambda size: F.coalesce(F.sum(size("said").cast("long")).over(earlier), F.lit(0)) + size(head)
+    span = F.struct(
+        begins(F.char_length).alias("start"), F.char_length("flat").cast("long").alias("length"),
+        begins(F.octet_length).alias("byte_start"), F.octet_length("flat").cast("long").alias("byte_length"),
+    )
+    rows = turns.select("conv_id", "n", "said", F.when(F.col("role") == mask_role, span).alias("span"), "attached")
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "said"))).alias("turns"), F.sort_array(F.collect_list("span")).alias("spans"), F.sort_array(F.collect_list(F.struct("n", "attached"))).alias("attached"))
+    attachments = F.flatten(F.col("attached")["attached"])
     return chats.select(
-        "conv_id",
-        F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["flat"], F.lit(tail))), "").alias("formatted"),
-        F.aggregate("turns", start, step)["spans"].alias("spans"),
-        attachments.alias("attachments"),
+        "conv_id", F.array_join(F.col("turns")["said"], "").alias("formatted"), "spans", attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body's lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pieces() -> Column:
+    """The turns as they stand in the formatted text, without their ends."""
+    return F.slice(F.split("formatted", "</turn>\n"), F.lit(1), F.size(F.split("formatted", "</turn>\n")) - 1)
+
+
 def parse_chats(chats: DataFrame) -> DataFrame:
     """Read formatted conversations back: adds ``turns`` (role, text; placeholders stand as text) and ``loss_text``,
-    what the spans mark, unescaped."""
-    pieces = F.slice(F.split("formatted", "</turn>\n"), F.lit(1), F.size(F.split("formatted", "</turn>\n")) - 1)
-    turns = F.transform(pieces, lambda p: F.struct(
+    what the spans mark, unescaped. A conversation always has a turn; an empty table gives an empty result. ``parse_parts``
+    tells placeholders from texts."""
+    turns = F.transform(_pieces(), lambda p: F.struct(
         unescape(F.substr(F.substring_index(p, ">\n", 1), F.lit(len("<turn:") + 1))).alias("role"),
         unescape(F.substr(p, F.instr(p, ">\n") + 2)).alias("text"),
     ))
-    marked = F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    cut = lambda data, s: F.substr(data, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")).cast("string")
+    marked = _let(F.col("formatted").cast("binary"), lambda data: F.transform("spans", lambda s: unescape(cut(data, s))))
     return chats.withColumn("turns", turns).withColumn("loss_text", F.array_join(marked, ""))
 
 
+def parse_parts(chats: DataFrame) -> DataFrame:
+    """Read the parts of formatted conversations back: adds ``parts``, for each turn an array of (kind, text, number). A text
+    has no number, a placeholder no text but the number of its attachment. Neighbouring texts are one; empty ones aren't
+    there. An attachment without kind is of kind ``unknown``; one of kind ``text`` can't be."""
+
+    def part(p: Column) -> Column:
+        label = F.substr(p, F.lit(2), F.char_length(p) - 2)
+        number = F.substring_index(label, ":", -1)
+        kind = F.substr(label, F.lit(1), F.char_length(label) - F.char_length(number) - 1)
+        return F.struct(
+            F.when(p.startswith("<"), unescape(kind)).otherwise("text").alias("kind"), F.when(~p.startswith("<"), unescape(p)).alias("text"),
+            F.when(p.startswith("<"), number.try_cast("int")).alias("number"),
+        )
+
+    said = lambda p: F.substr(p, F.instr(p, ">\n") + 2)
+    return chats.withColumn("parts", F.transform(_pieces(), lambda p: F.transform(F.regexp_extract_all(said(p), F.lit("<[^<>]*>|[^<>]+"), F.lit(0)), part)))
+
+
 def digests(chats: DataFrame) -> DataFrame:
-    """The digest columns of a query, all from the formatted output."""
+    """The digest columns of a query, all from the formatted output: one row for each row of ``chats``, so repeated ones are
+    digested each; an empty table gives an empty result."""
     back = parse_chats(chats)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
