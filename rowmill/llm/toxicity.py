@@ -8,8 +8,8 @@ neutral mentions aren't taken for toxicity. Every text of the sample that names
 neutral mentions are appended to texts for such pairs, those that name no group first, so that every term is covered.
 
 Training takes a bounded sample: of each label at most MAX_PER_LABEL rows (those with the smallest seeded hash of the
-id), of texts up to MAX_TRAIN_BYTES bytes. Its ids are picked from the labels alone and broadcast, so documents aren't
-shuffled. Scoring is one scan of whole texts.
+id). Its ids are picked from the labels alone and broadcast, so documents aren't shuffled; executors reduce each whole text
+of it, however long, to its distinct words, which go to the driver. Scoring is one scan of whole texts.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import bounded_batches, release_memory
+from rowmill.llm.common import bounded_batches, columns_of, fresh, release_memory
 from rowmill.session import table
 
 MAX_PER_LABEL = 3_000
-MAX_TRAIN_BYTES = 32_768
 MAX_INDICATORS = 4_096
 SEED = 41
 #: Standard errors by which an indicator's log odds must differ, and texts of the sample that must have it.
@@ -86,7 +85,7 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, texts: Sequence[str], toxic: Sequence[int], counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
-        """Repeated texts count once. With one label only, every text scores 0 or 1; without texts 0."""
+        """Repeated texts count once, with the last one's label. With one label only, every text scores 0 or 1; without texts 0."""
         unique = dict(zip(texts, toxic, strict=True))
         y = np.array(list(unique.values()), float)
         if not len(y) or y.min() == y.max():
@@ -161,7 +160,7 @@ class ToxicityModel:
         share = np.array(list(pairs.values()), float) / max(1, pairs.total())
         n, k = len(y), len(self.place)
         w, bias = np.zeros(k), 0.0
-        # Both labels weigh as in the sample of a tenth of toxic texts; Adam on the whole sample.
+        # Toxic texts weigh a fifth of the whole however many there are; Adam on the whole sample.
         weight = np.where(y == 1, 0.2 / max(1, y.sum()), 0.8 / max(1, (1 - y).sum())) if n else y
         m, v = np.zeros(k + 1), np.zeros(k + 1)
         for step in range(1, steps + 1):
@@ -185,13 +184,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
-    """Fit the model to the labelled rows of ``docs`` that aren't held out, within the bounds of the sample."""
+    """Fit the model to the labelled rows of ``docs`` that aren't held out, within the bound of the sample.
+
+    NULL texts count as empty. Texts with the same words count once, with the label of the largest doc_id. Labels other
+    than 0 and 1, those without doc_id or without a document, and documents without a label aren't learned. Empty tables
+    give a model that scores 0."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     hashed = F.xxhash64(F.lit(SEED), "doc_id")
     parts = [usable.filter(F.col("toxic") == label).orderBy(hashed, "doc_id").limit(MAX_PER_LABEL) for label in (0, 1)]
     picked = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
-    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.collect())
+    rows = bounded_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+
+    @F.pandas_udf("string")
+    def distinct_words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(sorted(set(words_of(t.lower())))))
+
+    found = sorted((r["doc_id"], r["toxic"], r["words"]) for r in rows.select("doc_id", "toxic", distinct_words("text").alias("words")).collect())
     return ToxicityModel.fit([t for _, _, t in found], [y for _, y, _ in found], counterfactual)
 
 
@@ -211,9 +219,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with their columns."""
-    marked = score_toxicity(docs, train(docs, labels), score="_toxicity")
-    return marked.filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    """The rows of ``docs`` that score below ``threshold``, with their columns, whatever their names. NULL and empty texts
+    have the score of a text without indicators, repeated rows stay or go together, and an empty table gives an
+    empty result."""
+    name = fresh(docs, "_toxicity")
+    marked = score_toxicity(docs, train(docs, labels), score=name)
+    return marked.filter(F.col(name) < threshold).select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
