@@ -3,8 +3,9 @@
 ``mux`` stores a payload as one program with one private data stream: PAT and PMT, then PES packets of ACCESS_UNIT bytes
 with a timestamp each, cut into 188-byte packets with continuity counters; every RANDOM_ACCESS-th access unit is
 a random-access point with its own clock reference and repeated tables. ``demux`` reads such bytes back: it parses the
-program tables, checks continuity counters, reassembles the elementary packets and returns timestamps with the
-random-access points, of every elementary stream of every program. Both work on all packets of a stream at once.
+program tables, checks continuity counters, reassembles the elementary packets and returns their timestamps, byte positions and
+random-access points, of every elementary stream of every program. Packets sent twice count once, and a counter may jump
+where a discontinuity is flagged. Both work on all packets of a stream at once.
 
 Rows are independent, so there is no shuffle.
 """
@@ -158,6 +159,8 @@ class Stream:
     #: Of each elementary packet: its timestamp in ticks of 1/90000 s, and whether decoding can start there.
     timestamps: np.ndarray
     random_access: np.ndarray
+    #: Of each elementary packet: where its first packet stands in the bytes of the stream.
+    positions: np.ndarray
     continuity_errors: int
 
 
@@ -206,10 +209,8 @@ def demux_all(data: bytes) -> list[Stream]:
             raise StreamError(f"{len(own)} tables on pid {of}")
         return own[0]
 
-    def errors(of: int) -> int:
-        own = packets[pid == of]
-        counters = own[(own[:, 3] & 0x10) > 0, 3].astype(np.int64) & 0x0F
-        return int(((np.diff(counters) % 16) != 1).sum())
+    def carried(of: int) -> tuple[np.ndarray, int]:
+        return _carried(packets, np.flatnonzero((pid == of) & ((packets[:, 3] & 0x10) > 0)))
 
     pat = table(PAT_PID, 0x00)
     found = []
@@ -221,17 +222,34 @@ def demux_all(data: bytes) -> list[Stream]:
         at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
         while at < len(pmt) - 4:
             data_pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-            payload, stamps, access = _elementary(packets[(pid == data_pid) & ((packets[:, 3] & 0x10) > 0)])
-            damaged = errors(PAT_PID) + errors(pmt_pid) + errors(data_pid)
-            found.append(Stream(program, data_pid, int(pmt[at]), len(packets), payload, stamps, access, damaged))
+            own, damaged = carried(data_pid)
+            payload, stamps, access, units = _elementary(packets[own])
+            damaged += carried(PAT_PID)[1] + carried(pmt_pid)[1]
+            found.append(Stream(program, data_pid, int(pmt[at]), len(packets), payload, stamps, access, own[units] * PACKET, damaged))
             at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
     if not found:
         raise StreamError("no elementary stream")
     return found
 
 
-def _elementary(own: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Payload, timestamps and random-access points of the packets of one elementary stream."""
+def _carried(packets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
+    """The places ``at`` of packets of one pid with payload, without those sent twice, and the errors of their counters."""
+    own = packets[at]
+    counters = own[:, 3].astype(np.int64) & 0x0F
+    adapted = (own[:, 3] & 0x20) > 0
+    flagged = adapted & (own[:, 4] > 0) & ((own[:, 5] & 0x80) > 0)
+    again = np.zeros(len(own), bool)
+    same = np.flatnonzero(counters[1:] == counters[:-1]) + 1
+    # A repetition may have another clock reference, but the same payload.
+    begin = np.where(adapted[same], 5 + own[same, 4].astype(np.int64), 4)
+    equal = (own[same] == own[same - 1]) | (np.arange(PACKET) < begin[:, None])
+    again[same] = equal.all(axis=1) & (own[same, 3] == own[same - 1, 3])
+    jumps = (np.diff(counters) % 16 != 1) & ~again[1:] & ~flagged[1:]
+    return at[~again], int(jumps.sum())
+
+
+def _elementary(own: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Payload, timestamps, random-access points and first packets of the elementary packets of one stream."""
     if (own[:, 3] & 0xC0).any():
         raise StreamError("a scrambled stream")
     adapted = (own[:, 3] & 0x20) > 0
@@ -264,7 +282,7 @@ def _elementary(own: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     skip = np.zeros(len(stream) + 1, np.int64)
     np.add.at(skip, offsets, 1)
     np.add.at(skip, offsets + 9 + head[:, 8], -1)
-    return stream[np.cumsum(skip[:-1]) == 0].tobytes(), stamps, access
+    return stream[np.cumsum(skip[:-1]) == 0].tobytes(), stamps, access, unit
 
 
 def store_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -291,14 +309,16 @@ def store_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """What the streams hold, a row for each elementary stream. Adds payload, units (pts and random_access of each elementary packet), program, pid,
-    stream_type, packets and continuity_errors to doc_id, n_bytes and media. Damaged streams raise."""
-    schema = "doc_id long, n_bytes long, media binary, payload binary, units array<struct<pts: long, random_access: boolean>>, program int, pid int, stream_type int, packets long, continuity_errors long"
-    types = pa.schema([("payload", pa.binary()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_())]))), ("program", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64())])
+    """What the streams hold, a row for each elementary stream. Adds payload, units (pts, random_access and byte position of each
+    elementary packet), program, pid, stream_type, packets and continuity_errors to doc_id, n_bytes and media. Damaged
+    streams raise, and so do NULL and empty ones; repeated rows are read each; an empty table gives an empty result. Other
+    columns are not read."""
+    schema = "doc_id long, n_bytes long, media binary, payload binary, units array<struct<pts: long, random_access: boolean, position: long>>, program int, pid int, stream_type int, packets long, continuity_errors long"
+    types = pa.schema([("payload", pa.binary()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("position", pa.int64())]))), ("program", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64())])
 
     def out(batch: pa.RecordBatch, found: list[Stream]) -> pa.RecordBatch:
         ends = np.cumsum([0, *(len(s.timestamps) for s in found)]).astype(np.int32)
-        units = pa.StructArray.from_arrays([pa.array(np.concatenate([s.timestamps for s in found])), pa.array(np.concatenate([s.random_access for s in found]))], ["pts", "random_access"])
+        units = pa.StructArray.from_arrays([pa.array(np.concatenate([s.timestamps for s in found])), pa.array(np.concatenate([s.random_access for s in found])), pa.array(np.concatenate([s.positions for s in found]))], ["pts", "random_access", "position"])
         columns = [pa.array([s.payload for s in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), units)]
         columns += [pa.array([getattr(s, f.name) for s in found], f.type) for f in list(types)[2:]]
         return pa.RecordBatch.from_arrays([*batch.columns, *columns], ["doc_id", "n_bytes", "media", *types.names])
@@ -307,7 +327,7 @@ def read_media(stored: DataFrame) -> DataFrame:
         for batch in batches:
             rows, found, held = [], [], 0
             for i in range(batch.num_rows):
-                data = batch.column(2)[i].as_buffer().to_pybytes()
+                data = b"" if not batch.column(2)[i].is_valid else batch.column(2)[i].as_buffer().to_pybytes()
                 for stream in demux_all(data):
                     rows.append(i)
                     found.append(stream)
@@ -328,8 +348,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "program=%d;pid=%d;type=%d;packets=%d;units=%d;random_access=%d;last_pts=%d;continuity_errors=%d",
         "program", "pid", "stream_type", "packets", F.size("units"), points, F.element_at("units", -1)["pts"], "continuity_errors",
     )
+    # Each access unit as pts@position, random-access points with a star.
+    units = F.array_join(F.transform("units", lambda u: F.concat(u["pts"], F.lit("@"), u["position"], F.when(u["random_access"], "*").otherwise(""))), ",")
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), units.alias("units"),
     )
