@@ -1,10 +1,11 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for the URLs without a rule.
 
 The trees learn from labelled URLs, by default those that a rule decides: a bounded sample of MAX_TRAIN of them, the
-smallest by a seeded hash. Features are length, depth, digit ratio, entropy, parameter counts and suffix statistics
-(smoothed share of blocked URLs by the last one and two labels of the host, counted over all labelled URLs). The trees and
-the MAX_BROADCAST most frequent suffixes travel to the executors, so scoring is one scan without shuffle; where there are
-more suffixes, the statistics of the others are joined to the rows that have them.
+smallest by a seeded hash. Features are length, depth, digit ratio, entropy, parameter counts and suffix statistics:
+the smoothed share of blocked URLs by the last one and two labels of the host, and by the first directory that follows
+them, counted over all labelled URLs. Only pages without a rule are scored. The trees and the MAX_BROADCAST most frequent
+suffixes travel to the executors, so scoring is one scan without shuffle; where there are more suffixes, the statistics of
+the others are joined to the rows that have them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ MAX_COUNTED = 100_000
 SMOOTHING = 10.0
 FEATURES = (
     "url_length", "host_length", "path_length", "query_length", "labels", "depth", "digits", "letters", "entropy",
-    "parameters", "hyphens", "has_fragment", "suffix_1", "suffix_2",
+    "parameters", "hyphens", "has_fragment", "suffix_1", "suffix_2", "directory",
 )
 
 
@@ -64,28 +65,26 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    labels = host.split(".")
-    return labels[-1], ".".join(labels[-2:])
+def suffixes(url: str) -> tuple[str, str, str]:
+    """What statistics are kept of: the last label of the host, the last two, and the first directory behind a slash."""
+    _, mark, rest = url.partition("://")
+    host, _, path = (rest if mark else url).partition("#")[0].partition("?")[0].partition("/")
+    labels, (directory, more, _) = host.lower().split("."), path.partition("/")
+    return labels[-1], ".".join(labels[-2:]), "/" + (directory if more else "")
 
 
 def count_suffixes(labelled: Iterable[tuple[str, int]]) -> dict[str | None, tuple[int, int]]:
     """Blocked and all URLs by suffix, and of all rows under None."""
     seen: dict[str | None, list[int]] = defaultdict(lambda: [0, 0])
     for url, label in labelled:
-        for s in {None, *suffixes(lexical_host(url))}:
+        for s in {None, *suffixes(url)}:
             seen[s][0] += label
             seen[s][1] += 1
     return {s: (a, n) for s, (a, n) in seen.items()}
 
 
-def lexical_host(url: str) -> str:
-    _, mark, rest = url.partition("://")
-    return (rest if mark else url).partition("#")[0].partition("?")[0].partition("/")[0].lower()
-
-
-def lexical(url: str) -> tuple[list[float], str]:
-    """The features of a URL but for the suffix statistics, and its host."""
+def lexical(url: str) -> tuple[list[float], tuple[str, str, str]]:
+    """The features of a URL but for the suffix statistics, and its suffixes."""
     _, mark, rest = url.partition("://")
     rest = rest if mark else url
     rest, fragment, _ = rest.partition("#")
@@ -97,7 +96,7 @@ def lexical(url: str) -> tuple[list[float], str]:
         len(url), len(host), len(path), len(query), host.count(".") + 1, sum(map(bool, path.split("/"))), sum(c.isdigit() for c in url) / n,
         sum(c.isalpha() for c in url) / n, entropy(url), query.count("&") + 1 if query else 0, url.count("-"), float(bool(fragment)),
     ]
-    return values, host
+    return values, suffixes(url)
 
 
 @dataclass
@@ -204,17 +203,21 @@ class UrlModel:
         made = [lexical(u) for u in urls]
         model = cls({s: (a + SMOOTHING * prior) / (n + SMOOTHING) for s, (a, n) in counts.items() if s is not None}, prior, BoostedTrees())
         if len(y) and y.min() < y.max():
-            model.trees.fit(model.matrix(made), y)
+            x = model.matrix(made)
+            # Once more with unknown hosts, so that the trees know how to judge a suffix that no label has.
+            unknown = x.copy()
+            unknown[:, [FEATURES.index("suffix_1"), FEATURES.index("suffix_2")]] = prior
+            model.trees.fit(np.concatenate([x, unknown]), np.concatenate([y, y]))
         return model
 
-    def matrix(self, made: Sequence[tuple[list[float], str]], joined: Sequence[Sequence[float | None]] | None = None) -> np.ndarray:
-        """``joined`` has the statistics of both suffixes of each row where they aren't among the model's."""
+    def matrix(self, made: Sequence[tuple[list[float], tuple[str, str, str]]], joined: Sequence[Sequence[float | None]] | None = None) -> np.ndarray:
+        """``joined`` has the statistics of the suffixes of each row where they aren't among the model's."""
 
         def rate(suffix: str, other: float | None) -> float:
             return self.rates.get(suffix, self.prior if other is None or math.isnan(other) else other)
 
-        others = joined or [(None, None)] * len(made)
-        rows = [[*values, *map(rate, suffixes(host), more)] for (values, host), more in zip(made, others, strict=True)]
+        others = joined or [(None, None, None)] * len(made)
+        rows = [[*values, *map(rate, own, more)] for (values, own), more in zip(made, others, strict=True)]
         return np.array(rows, float).reshape(len(made), len(FEATURES))
 
     def predict(self, urls: Sequence[str], joined: Sequence[Sequence[float | None]] | None = None) -> np.ndarray:
@@ -266,8 +269,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     The longest rule that fits decides; without one the trees do: block from a score of ``threshold``. ``labelled`` (url,
     blocked 0/1) trains them, by default the pages that a rule decides. NULL and malformed URLs have empty host
-    and path, fit no rule and are scored as empty text. Repeated rows get equal verdicts. Without labelled rows everything
-    scores 0. An empty table gives an empty result. Returns page_id, host, path, rule, verdict, score.
+    and path, fit no rule and are scored as they stand, NULL as empty text. Repeated rows get equal verdicts. Without labelled
+    rows everything scores 0. Other columns are not read. An empty table gives an empty result. Returns page_id, host,
+    path, rule, verdict, score (NULL where a rule decides).
     """
     judged = judged_by_rules(pages, rules)
     if labelled is None:
@@ -283,9 +287,33 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for urls in parts:
-            yield pd.Series(model.predict(["" if u is None else u for u in urls]))
+            yield _scores(model, urls)
+
+    return _verdicts(judged.withColumn("score", score(_undecided())), threshold)
+
+
+def _undecided() -> Column:
+    """The URL of a page that no rule decides."""
+    return F.when(F.col("said").isNull(), F.coalesce("url", F.lit("")))
+
+
+def _scores(model: UrlModel, urls: pd.Series, joined: Sequence[Sequence[float | None]] | None = None) -> pd.Series:
+    """Scores of the URLs that aren't NULL."""
+    there = [i for i, u in enumerate(urls) if u is not None]
+    out = pd.Series([None] * len(urls), dtype="float64")
+    if there:
+        out.iloc[there] = model.predict([urls.iloc[i] for i in there], None if joined is None else [joined[i] for i in there])
+    return out
+
 
-    return _verdicts(judged.withColumn("score", score("url")), threshold)
+def held_out_accuracy(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> tuple[int, int]:
+    """Of the pages that a rule decides, a fifth by a hash of the URL is held out; the trees learn from the others. How many
+    are held out, and how many of those the trees judge as the rule does."""
+    judged = judged_by_rules(pages, rules).filter("said is not null").withColumn("blocked", (F.col("said") == "block").cast("int"))
+    out = F.pmod(F.xxhash64(F.lit(SEED + 1), "url"), F.lit(5)) == 0
+    scored = filter_urls(judged.filter(out), (), judged.filter(~out).select("url", "blocked"), threshold)
+    both = scored.join(judged.filter(out).select("page_id", "said").distinct(), "page_id")
+    return both.agg(F.count(F.lit(1)), F.count_if(F.col("verdict") == F.col("said"))).first()
 
 
 def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
@@ -299,8 +327,8 @@ def _scored_by_join(judged: DataFrame, labelled: DataFrame, urls: list[str], blo
     counts = {s: (a, n) for s, a, n in top}
     known = frozenset(counts)
     table_of = suffix_counts(labelled).filter("suffix is not null")
-    # The sample has at most 2 * MAX_TRAIN suffixes; the trees are fitted to the statistics of all of them.
-    needed = sorted({s for u in urls for s in suffixes(lexical_host(u))} - known)
+    # The sample has at most 3 * MAX_TRAIN suffixes; the trees are fitted to the statistics of all of them.
+    needed = sorted({s for u in urls for s in suffixes(u)} - known)
     if needed:
         wanted = spark.createDataFrame([(s,) for s in needed], "suffix string")
         own = {r["suffix"]: (r["blocked"], r["total"]) for r in table_of.join(F.broadcast(wanted), "suffix").collect()}
@@ -313,20 +341,20 @@ def _scored_by_join(judged: DataFrame, labelled: DataFrame, urls: list[str], blo
     @F.pandas_udf("array<string>")
     def rare(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in parts:
-            yield pd.Series([[None if s in known else s for s in suffixes(lexical_host(u or ""))] for u in some])
+            yield pd.Series([None if u is None else [None if s in known else s for s in suffixes(u)] for u in some])
 
     @F.pandas_udf("double")
-    def score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for some, one, two in parts:
-            yield pd.Series(model.predict(["" if u is None else u for u in some], list(zip(one, two, strict=True))))
-
-    rows = judged.withColumn("_rare", rare("url"))
-    for i in (0, 1):
-        # Rows of broadcast suffixes find nothing, under keys (no host has a line feed and slash) that deal them evenly.
-        key = F.coalesce(F.col("_rare")[i], F.concat(F.lit("\n/"), F.xxhash64("page_id", "url").cast("string")))
+    def score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for some, *rates in parts:
+            yield _scores(model, some, list(zip(*rates, strict=True)))
+
+    rows = judged.withColumn("_rare", rare(_undecided()))
+    for i in (0, 1, 2):
+        # Rows of broadcast suffixes find nothing, under keys (no suffix begins with two slashes) that deal them evenly.
+        key = F.coalesce(F.get("_rare", F.lit(i)), F.concat(F.lit("//"), F.xxhash64("page_id", "url").cast("string")))
         side = rates.select(F.col("suffix").alias(f"_key{i}"), F.col("rate").alias(f"_rate{i}"))
         rows = rows.withColumn(f"_key{i}", key).join(side, f"_key{i}", "left")
-    return _verdicts(rows.withColumn("score", score("url", "_rate0", "_rate1")), threshold)
+    return _verdicts(rows.withColumn("score", score(_undecided(), "_rate0", "_rate1", "_rate2")), threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
