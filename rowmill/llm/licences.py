@@ -4,10 +4,11 @@ A text's canonical form has A-Z in lower case, no copyright lines, one space for
 space, and one spelling of equivalent words. A copyright line begins with ``copyright`` or ``(c)`` and a mark, a year, a
 placeholder or a name, or with the sign, and ``All rights reserved.`` as the next line is a part of it; a line of prose that was wrapped before the word ``copyright`` stays, since no
 name begins with a word that follows ``copyright`` in the known texts or in PROSE. The SHA-256 of the
-whole canonical text is hash-joined to the digests of known licences; each line of it, as a text of its own, is looked
-up among the same digests, which finds one-line notices.
+whole canonical text is hash-joined to the digests of known licences; each line of it, as a text of its own, is joined
+to the same digests, which finds one-line notices.
 
-Only the known licences are broadcast: a list that ships with the code. Everything else is one scan without shuffle.
+The texts are scanned once and not shuffled. Of their lines only those go on whose digest is known, and only rows that
+have such lines are grouped again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.llm.common import BROADCAST_BYTES, scratch
 from rowmill.llm.licence_texts import PROSE, SPELLINGS, TEXTS
 from rowmill.session import table
 
@@ -54,8 +56,13 @@ def _copyright_line() -> str:
 _COPYRIGHT_LINE = _copyright_line()
 #: ASCII controls, space and punctuation but for the line feed, and typographic punctuation.
 _PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F‐-―‘-‟«»·•]+"
-#: More known texts than this don't belong in a broadcast.
-MAX_KNOWN = 100_000
+#: Up to so many known digests stand in the scan itself, to tell which lines go on; with more, all lines do.
+MAX_LITERALS = 10_000
+
+
+def _apart(words: str) -> str:
+    """Two spaces between words, so that each has its own on both sides and neighbours can be replaced in one go."""
+    return words.replace(" ", "  ")
 
 
 def canonical_lines(text: str) -> list[str]:
@@ -64,10 +71,10 @@ def canonical_lines(text: str) -> list[str]:
     text = re.sub(_PUNCTUATION, " ", re.sub(_COPYRIGHT_LINE, "", text))
     lines = []
     for line in text.split("\n"):
-        line = f" {line.strip(' ')} "
+        line = f" {_apart(line.strip(' '))} "
         for said, meant in SPELLINGS:
-            line = line.replace(f" {said} ", f" {meant} ")
-        lines.append(line.strip(" "))
+            line = line.replace(f" {_apart(said)} ", f" {_apart(meant)} ")
+        lines.append(line.strip(" ").replace("  ", " "))
     return [x for x in lines if x]
 
 
@@ -78,11 +85,12 @@ def digest(text: str) -> str:
 def _lines(text: Column) -> Column:
     text = F.translate(text, _UPPER, _LOWER)
     text = F.regexp_replace(F.regexp_replace(text, _COPYRIGHT_LINE, ""), _PUNCTUATION, " ")
-    # Spaces around each line, so that whole words can be replaced by plain string search over the text at once.
+    # Two spaces between words and around each line, so that whole words can be replaced by plain string search at once.
     text = F.concat(F.lit("\n "), F.replace(text, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
-    text = F.regexp_replace(text, "\\x20\\x20+", " ")
+    text = F.regexp_replace(text, "\\x20+", "  ")
     for said, meant in SPELLINGS:
-        text = F.replace(text, F.lit(f" {said} "), F.lit(f" {meant} "))
+        text = F.replace(text, F.lit(f" {_apart(said)} "), F.lit(f" {_apart(meant)} "))
+    text = F.replace(text, F.lit("  "), F.lit(" "))
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
 
 
@@ -99,20 +107,22 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = TEXTS, text: str =
     digests: dict[str, str] = {}
     for name, body in sorted(known):
         digests.setdefault(digest(body), name)
-    if len(digests) > MAX_KNOWN:
-        raise ValueError(f"{len(digests)} known texts; at most {MAX_KNOWN} are broadcast")
-    spark = docs.sparkSession
-    values = ", ".join(f"('{d}', '{n}')" for d, n in digests.items()) or "('', '')"
-    names = spark.sql(f"SELECT * FROM VALUES {values} AS v(known_digest, license_id)")
-    lookup = F.create_map(*(F.lit(x) for pair in digests.items() for x in pair)) if digests else F.create_map(F.lit(""), F.lit(""))
+    names = docs.sparkSession.createDataFrame(list(digests.items()), "known_digest string, known_id string")
+    if sum(len(n.encode()) + 128 for n in digests.values()) <= BROADCAST_BYTES:
+        names = F.broadcast(names)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), _lines(F.coalesce(F.col(text), F.lit(""))).alias("lines"))
-    # The set is hashed, the map is searched from its beginning: only known digests go there.
-    hits = F.filter(F.transform("lines", lambda x: F.sha2(x, 256)), lambda x: x.isin(list(digests)))
-    found = F.transform(hits, lambda x: F.try_element_at(lookup, x))
-    rows = rows.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"))
-    joined = rows.join(F.broadcast(names), F.col("canonical_sha256") == F.col("known_digest"), "left")
-    return joined.select("doc_id", "canonical_sha256", "license_id", "notices")
+    hits = F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256)))
+    if len(digests) <= MAX_LITERALS:
+        hits = F.filter(hits, lambda x: x.isin(list(digests)))
+    rows = rows.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"), hits.alias("hits"), F.monotonically_increasing_id().alias("row"))
+    rows = scratch(rows)
+    lines = rows.select("row", F.explode("hits").alias("line")).join(names, F.col("line") == F.col("known_digest"))
+    found = lines.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("known_id")), ",").alias("notices"))
+    noted = rows.filter(F.size("hits") > 0).join(found, "row", "left").select("doc_id", "canonical_sha256", F.coalesce("notices", F.lit("")).alias("notices"))
+    rows = rows.filter(F.size("hits") == 0).select("doc_id", "canonical_sha256", F.lit("").alias("notices")).unionAll(noted)
+    joined = rows.join(names, F.col("canonical_sha256") == F.col("known_digest"), "left")
+    return joined.select("doc_id", "canonical_sha256", F.col("known_id").alias("license_id"), "notices")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +134,10 @@ def _oracle() -> str:
     for name, body in sorted(TEXTS):
         known.setdefault(digest(body), name)
     values = ", ".join(f"('{d}', '{n}')" for d, n in known.items())
-    line = "' ' || trim(x, ' ') || ' '"
+    line = "' ' || replace(trim(x, ' '), ' ', '  ') || ' '"
     for said, meant in SPELLINGS:
-        line = f"replace({line}, ' {said} ', ' {meant} ')"
+        line = f"replace({line}, ' {_apart(said)} ', ' {_apart(meant)} ')"
+    line = f"replace({line}, '  ', ' ')"
     return f"""
 WITH known AS (SELECT * FROM (VALUES {values}) AS v(d, n)),
 low AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
