@@ -3,9 +3,10 @@
 1. One scan of the texts makes the shingle sets and notes their size and id. Documents with equal sets are one class, and
    from here on a class counts once. Tokens are counted in windows of each task; those that come to a high count in the
    corpus are hot, and their list, which has a bound, is broadcast.
-2. A second scan sends each class's tokens in packed blobs, by ranges of their hash, so that each range meets in one
-   task, which counts in how many classes each token is (exact frequencies). Tokens of one class only can't be shared,
-   so they are dropped there and only counted. A hot token would fill one range with its classes: its occurrences are
+2. A second scan, over one document of a class (as far as a bitmap of bounded size tells), sends its tokens in packed blobs, by ranges of their hash, so that each range meets in one
+   task, which counts in how many of the sent sets each token is. Tokens of one set only can't be shared, so they are dropped
+   there and only counted. A set goes by a short number, its window's and its own, so that a token costs about as much
+   in a large table, where few tokens of a set fall into one range, as in a small one. A hot token would fill one range with its classes: its occurrences are
    dealt by class instead, and its frequency is the noted count.
 3. A class with n tokens links at least at overlap o = ceil(t n); one with more than n - o unshared tokens
    links with nothing. For the others tokens stand in order of frequency, rare ones first.
@@ -33,17 +34,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import blocks_for, bounded_batches, forget, left_join_groups, release_memory, scratch, split_by_keys
+from rowmill.llm.common import blocks_for, bounded_batches, forget, left_join_groups, perhaps_among, release_memory, scratch, split_by_keys
 from rowmill.llm.components import components
 from rowmill.llm.shingles import Powers, mix, set_id, shingle_sets
 from rowmill.session import table
 
 #: Tokens that a range of hashes is meant for.
-RANGE_TOKENS = 1 << 20
+RANGE_TOKENS = 1 << 21
 #: Tokens that a task holds before it counts or sends them.
 HELD_TOKENS = 1 << 20
 #: Classes of a window in which a token is before the window notes it, and classes from which on a noted token is hot;
@@ -55,56 +56,51 @@ RARE = 24
 CHUNK, PIVOTS = 256, 8
 #: From this many classes of a chunk on, a token is counted by matrix product, below by its pairs.
 DENSE = 12
+#: Bits of a set's number in its window, and of a window's in its task: a window holds at most HELD_TOKENS sets.
+SET_BITS, WINDOW_BITS = 20, 19
 #: Classes that one task remembers to have sent.
 REMEMBERED = 1 << 18
 
 
-def _pack(classes: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> bytes:
-    """Class ids, the number of tokens of each, and the low 48 bits of the tokens."""
-    low = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :6]
-    return struct.pack("<I", len(classes)) + classes.tobytes() + counts.astype(np.uint32).tobytes() + low.tobytes()
+def _pack(first: int, sets: np.ndarray, counts: np.ndarray, tokens: np.ndarray, wide: int) -> bytes:
+    """Sets of a window, whose numbers begin at ``first``; the number of tokens of each; the ``wide`` low bytes of the tokens.
+    Sets and counts take as many bytes as the largest needs."""
+    widths = [next(w for w in (1, 2, 4) if int(x.max(initial=0)) < 1 << 8 * w) for x in (sets, counts)]
+    low = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :wide]
+    return struct.pack("<qIBB", first, len(sets), *widths) + sets.astype(f"u{widths[0]}").tobytes() + counts.astype(f"u{widths[1]}").tobytes() + low.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Class and token of each entry."""
-    (n,) = struct.unpack_from("<I", blob)
-    classes, counts = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
-    low = np.frombuffer(blob, np.uint8, -1, 4 + 12 * n).reshape(-1, 6)
+def _unpack(blob: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set number and token of each entry."""
+    first, n, one, two = struct.unpack_from("<qIBB", blob)
+    at = struct.calcsize("<qIBB")
+    sets, counts = np.frombuffer(blob, f"u{one}", n, at), np.frombuffer(blob, f"u{two}", n, at + one * n)
+    low = np.frombuffer(blob, np.uint8, -1, at + (one + two) * n).reshape(-1, wide)
     tokens = np.zeros((len(low), 8), np.uint8)
-    tokens[:, :6] = low
-    return np.repeat(classes, counts), tokens.view(np.uint64).ravel()
-
-
-def _entries(blobs: list[bytes], shared: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Token and class of every entry, in order and once each: the same class may come from several tasks. With ``shared``
-    without tokens of one entry."""
-    parts = [_unpack(b) for b in blobs]
-    classes, tokens = np.concatenate([c for c, _ in parts]), np.concatenate([t for _, t in parts])
-    if shared:
-        order = np.argsort(tokens)
-        tokens = tokens[order]
-        same = tokens[1:] == tokens[:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(tokens) else np.zeros(0, bool)
-        tokens, classes = tokens[several], classes[order[several]]
-    order = np.lexsort((classes, tokens))
-    tokens, classes = tokens[order], classes[order]
-    new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1]))) if len(tokens) else np.zeros(0, bool)
-    return tokens[new], classes[new]
+    tokens[:, :wide] = low
+    return np.repeat(sets.astype(np.int64) + first, counts), tokens.view(np.uint64).ravel()
+
+
+def _entries(blobs: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set number and token of every entry."""
+    parts = [_unpack(b, wide) for b in blobs]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([t for _, t in parts])
 
 
 def _shared(blobs: list[bytes], part: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, class and frequency of every token that more than one class has, of range ``part`` of 2 ** ``bits``.
+    """Token, set number and frequency of every token that more than one set has, of range ``part`` of 2 ** ``bits``.
 
     The range is the token's high bits. With up to 16 bits of range all 48 that were sent are below them, with more the
     upper ones of the 48 say the same as the range."""
-    tokens, classes = _entries(blobs, True)
+    sets, tokens = _entries(blobs, 6)
+    order = np.argsort(tokens)
+    tokens = tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
     count = np.diff(np.append(starts, len(tokens)))
-    frequency = np.repeat(count, count)
-    several = frequency > 1
+    several = np.repeat(count > 1, count)
     below = np.uint64((1 << min(48, 64 - bits)) - 1)
     whole = (tokens[several] & below) | np.uint64(part << (64 - bits))
-    return whole.view(np.int64), classes[several], frequency[several]
+    return whole.view(np.int64), sets[order[several]], np.repeat(count[count > 1], count[count > 1])
 
 
 def _held_windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch | None, list[int], list[int | None], list[np.ndarray], list[int]]]:
@@ -164,47 +160,68 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
-    """class, token, frequency of shared tokens. ``hot`` holds the sorted hot tokens and their frequencies."""
+    """For each set that is sent, ``number`` and ``class`` in one row, and in a row for each range its number, shared ``tokens``
+    (packed longs) and ``frequencies`` (packed, of two bytes: higher ones are equal). ``hot`` holds the sorted hot tokens and
+    their frequencies."""
     bits = ranges.bit_length() - 1
 
-    def blobs(held: list[np.ndarray], ids: list[int], known: np.ndarray) -> pa.RecordBatch:
+    def blobs(held: list[np.ndarray], ids: list[int], first: int, known: np.ndarray) -> pa.RecordBatch:
         tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
-        class_of = np.array(ids, np.int64)
         part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
         if len(known):
             place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
             is_hot = known[place] == tokens
-            # Hot tokens go by their place in the list, to the ranges 2 ** bits and up by class.
+            # Hot tokens go by their place in the list, to the ranges 2 ** bits and up by set.
             tokens = np.where(is_hot, place.astype(np.uint64), tokens)
-            part = np.where(is_hot, ranges + class_of[owner] % ranges, part)
+            part = np.where(is_hot, ranges + (first + owner) % ranges, part)
         order = np.argsort(part, kind="stable")
         tokens, owner, part = tokens[order], owner[order], part[order]
         begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        ends, packed = np.append(begins[1:], len(part)), []
-        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        parts, packed = part[begins].tolist(), []
+        for p, a, b in zip(parts, begins.tolist(), np.append(begins[1:], len(part)).tolist(), strict=True):
             own = owner[a:b]
             at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            packed.append(_pack(class_of[own[at]], np.diff(np.append(at, len(own))), tokens[a:b]))
-        return pa.RecordBatch.from_arrays([pa.array(part[begins].astype(np.int32)), pa.array(packed, pa.binary())], ["part", "blob"])
+            packed.append(_pack(first, own[at], np.diff(np.append(at, len(own))), tokens[a:b], 6 if p < ranges else 3))
+        # Last the classes of the window, in order of their numbers.
+        parts.append(2 * ranges + (first >> SET_BITS) % ranges)
+        packed.append(struct.pack("<q", first) + np.array(ids, np.int64).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], ["part", "blob"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = TaskContext.get().partitionId() << WINDOW_BITS
         for batch, _, _, held, ids in _held_windows(batches, k):
             if batch is None:
-                yield blobs(held, ids, hot.value[0])
+                yield blobs(held, ids, window << SET_BITS, hot.value[0])
+                window += 1
         release_memory()
 
     def reduce(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         part, sent = key[0].as_py(), rows.column("blob").to_pylist()
+        if part >= 2 * ranges:
+            ids = [np.frombuffer(b, np.int64) for b in sent]
+            numbers = np.concatenate([x[0] + np.arange(len(x) - 1) for x in ids])
+            none = pa.nulls(len(numbers), pa.binary())
+            return pa.table({"number": pa.array(numbers), "class": pa.array(np.concatenate([x[1:] for x in ids])), "tokens": none, "frequencies": none})
         if part < ranges:
-            tokens, classes, frequency = _shared(sent, part, bits)
+            tokens, sets, frequency = _shared(sent, part, bits)
         else:
-            places, classes = _entries(sent, False)
+            sets, places = _entries(sent, 3)
             places = places.astype(np.int64)
             tokens, frequency = hot.value[0][places].view(np.int64), hot.value[1][places]
-        return pa.table({"class": pa.array(classes), "token": pa.array(tokens), "frequency": pa.array(frequency.astype(np.int64))})
+        order = np.argsort(sets, kind="stable")
+        sets, tokens, frequency = sets[order], tokens[order], np.minimum(frequency[order], (1 << 16) - 1).astype(np.uint16)
+        begins = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
+        ends = np.append(begins, len(sets))
+        lists = [pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (tokens, frequency)]
+        return pa.table({"number": pa.array(sets[begins]), "class": pa.nulls(len(begins), pa.int64()), "tokens": lists[0], "frequencies": lists[1]})
 
     packed = _bytes_of(docs).mapInArrow(send, "part int, blob binary")
-    return packed.groupBy("part").applyInArrow(reduce, "class long, token long, frequency long")
+    return packed.groupBy("part").applyInArrow(reduce, "number long, class long, tokens binary, frequencies binary")
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type) -> list[np.ndarray]:
+    """The numbers of each row's list of packed pieces."""
+    return [np.frombuffer(b"".join(pieces), kind) for pieces in column.to_pylist()]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -239,8 +256,9 @@ def _index(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             entries, counts = [], []
-            for n, tokens, frequency in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                own = signatures(n, tokens.values.to_numpy(), frequency.values.to_numpy(), percent)
+            for n, tokens, frequency in zip(batch.column(1).to_pylist(), _unpacked(batch.column(2), np.int64), _unpacked(batch.column(3), np.uint16), strict=True):
+                order = np.lexsort((tokens, frequency))
+                own = signatures(n, tokens[order], frequency[order], percent)
                 entries += own
                 counts.append(len(own))
             yield pa.RecordBatch.from_arrays([pa.array(entries, pa.int64()), pa.array(np.repeat(batch.column(0).to_numpy(), counts))], ["entry", "class"])
@@ -295,7 +313,7 @@ def _local_roots(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
 def _sorted_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], pa.Table]:
     """Classes, sizes and token sets of the rows in order of class."""
     rows = rows.combine_chunks().sort_by("class")
-    return rows.column("class").to_numpy(), rows.column("n").to_numpy(), [x.values.to_numpy() for x in rows.column("tokens")], rows
+    return rows.column("class").to_numpy(), rows.column("n").to_numpy(), _unpacked(rows.column("tokens"), np.int64), rows
 
 
 def _verify_chunks(sets: DataFrame, percent: int) -> DataFrame:
@@ -404,10 +422,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     order = np.argsort(hot.column("token").to_numpy().view(np.uint64))
     listed = (hot.column("token").to_numpy().view(np.uint64)[order], hot.column("times").to_numpy()[order])
 
-    scanned = scratch(_scan(docs, words, blocks_for(tokens, RANGE_TOKENS, least=16), spark.sparkContext.broadcast(listed)))
-    shared = scanned.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("frequency", "token"))).alias("all"))
-    shared = shared.join(classes.select("class", "n"), "class").filter(F.size("all") * 100 >= F.col("n") * percent)
-    sets = scratch(shared.select("class", "n", F.col("all.token").alias("tokens"), F.col("all.frequency").alias("frequencies")))
+    # A class's first document sends its set. The bitmap lets some others through, and in tables beyond its size most of
+    # them; what is sent twice counts once.
+    first = classes.filter("least_id is not null").select(F.xxhash64("least_id").alias("h"))
+    senders = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    senders = perhaps_among(senders, F.xxhash64("doc_id"), first, "h", classes.count(), "sends").filter("sends OR doc_id IS NULL")
+    scanned = scratch(_scan(senders, words, blocks_for(tokens, RANGE_TOKENS, least=16), spark.sparkContext.broadcast(listed)))
+    # Of sets that were sent twice the first stands for the class.
+    names = scanned.filter("class IS NOT NULL").groupBy("class").agg(F.min("number").alias("number"))
+    names = names.join(classes.select("class", "n"), "class")
+    pieces = scanned.filter("class IS NULL").groupBy("number").agg(F.collect_list(F.struct("tokens", "frequencies")).alias("all"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    shared = pieces.join(names, "number").filter(F.col("bytes") / 8 * 100 >= F.col("n") * percent)
+    sets = scratch(shared.select("class", "n", F.col("all")["tokens"].alias("tokens"), F.col("all")["frequencies"].alias("frequencies")))
     forget(scanned)
 
     entries = scratch(_index(sets, percent))
