@@ -711,11 +711,14 @@ def test_tokens_keep_their_identity_at_any_number_of_ranges(bits):
     tokens = np.sort(rng.integers(0, 1 << 64, 40, np.uint64))
     part = int(tokens[-1] >> np.uint64(64 - bits))
     own = tokens[tokens >> np.uint64(64 - bits) == part]
-    blobs = [ngram_join._pack(np.array([c], np.int64), np.array([len(own)]), own) for c in (3, 7, 3)]
+    alone = own[:1] ^ np.uint64(1)
+    blobs = [ngram_join._pack(first, np.array(sets), np.array([len(own)] * len(sets)), np.concatenate([own] * len(sets)), 6) for first, sets in ((1 << 50, [3]), (0, [7, 300]))]
+    blobs.append(ngram_join._pack(1 << 20, np.array([70_000]), np.array([1]), alone, 6))
     found, classes, frequency = ngram_join._shared(blobs, part, bits)
     known = np.uint64((1 << 64) - 1) if bits >= 16 else np.uint64(((1 << bits) - 1) << (64 - bits) | (1 << 48) - 1)
-    assert sorted(found.view(np.uint64).tolist()) == sorted(np.repeat(own & known, 2).tolist())
-    assert classes.tolist() == [3, 7] * len(own) and set(frequency.tolist()) == {2}
+    assert sorted(found.view(np.uint64).tolist()) == sorted(np.repeat(own & known, 3).tolist())
+    assert sorted(classes.tolist()) == sorted([(1 << 50) + 3, 7, 300] * len(own)) and set(frequency.tolist()) == {3}
+    assert ngram_join._unpack(blobs[2], 6)[0].tolist() == [(1 << 20) + 70_000]
 
 
 def near_texts(seed, groups, size, words=60):
