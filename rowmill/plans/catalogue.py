@@ -1,6 +1,8 @@
 """The query catalogue: one text for Spark SQL and for the oracle engine.
 
 Each query exercises the operators of the inventory; every computed column has an alias and every LIMIT a total order.
+Joins stand in the order in which they run without statistics: filtered dimensions first, the largest table as the
+probe side. MIN and MAX of strings come last, over the few rows of a hash aggregate, for they would sort their input.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ CATALOGUE: dict[str, str] = {
     "cross_product": """SELECT r.r_name, s.s_suppkey FROM region r, supplier s""",
     "equi_join": """SELECT o.o_orderkey, c.c_name FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND c.c_acctbal > 5000""",
     "join_on": """SELECT s.s_name, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey""",
-    "join_multi_key": """SELECT l.l_orderkey, s.s_suppkey, c.c_custkey FROM customer c, orders o, lineitem l, supplier s WHERE c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey""",
+    "join_multi_key": """SELECT l.l_orderkey, s.s_suppkey, c.c_custkey FROM supplier s, lineitem l, orders o, customer c WHERE c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey""",
     "join_expr_key": """SELECT a.n_nationkey AS na, b.n_nationkey AS nb FROM nation a, nation b WHERE a.n_nationkey + 1 = b.n_nationkey * 2""",
     "join_theta": """SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey""",
     "join_equi_residual": """SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""",
@@ -32,7 +34,7 @@ CATALOGUE: dict[str, str] = {
     "agg_global_empty": """SELECT COUNT(*) AS cnt, CAST(SUM(l_linenumber) AS BIGINT) AS s FROM lineitem WHERE l_quantity < 0""",
     "agg_group": """SELECT o_orderpriority, COUNT(*) AS cnt, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_orderpriority""",
     "agg_group_multi_int": """SELECT q.a, q.b, COUNT(*) AS cnt FROM (SELECT p_size AS a, p_partkey % 70 AS b FROM part) q GROUP BY q.a, q.b""",
-    "agg_minmax_string_date": """SELECT l_returnflag, CAST(MIN(l_shipdate) AS DATE) AS first_ship, CAST(MAX(l_shipdate) AS DATE) AS last_ship, MIN(l_linestatus) AS mn, MAX(l_linestatus) AS mx FROM lineitem GROUP BY l_returnflag""",
+    "agg_minmax_string_date": """SELECT q.l_returnflag, CAST(MIN(q.lo) AS DATE) AS first_ship, CAST(MAX(q.hi) AS DATE) AS last_ship, MIN(q.l_linestatus) AS mn, MAX(q.l_linestatus) AS mx FROM (SELECT l_returnflag, l_linestatus, MIN(l_shipdate) AS lo, MAX(l_shipdate) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus) q GROUP BY q.l_returnflag""",
     "agg_avg_int": """SELECT p_brand, ROUND(AVG(p_size), 6) AS avg_size FROM part GROUP BY p_brand""",
     "agg_avg_trunc": """SELECT p_brand, CAST(FLOOR(SUM(p_size) / COUNT(p_size)) AS BIGINT) AS avg_size FROM part GROUP BY p_brand""",
     "agg_count_distinct": """SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, COUNT(l_suppkey) AS cnt FROM lineitem GROUP BY l_returnflag""",
@@ -57,9 +59,21 @@ CATALOGUE: dict[str, str] = {
     "subquery_limit_filter": """SELECT q.o_orderkey FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) q WHERE q.o_totalprice < 498600""",
     "subquery_distinct_ordered": """SELECT q.seg FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer ORDER BY seg) q WHERE q.seg > 'B'""",
     "subquery_union": """SELECT q.k, COUNT(*) AS cnt FROM (SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region) q GROUP BY q.k""",
+    "agg_any_case": """SELECT o_orderstatus, count(*) AS cnt, Sum(o_totalprice) > 0 AS positive, mAx(o_orderkey) AS mx FROM orders GROUP BY o_orderstatus""",
+    "join_left": """SELECT p.p_brand, COUNT(*) AS cnt, COUNT(l.l_partkey) AS hits FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 49 GROUP BY p.p_brand""",
+    "join_right": """SELECT n.n_name, COUNT(c.c_custkey) AS cnt FROM customer c RIGHT JOIN nation n ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000 GROUP BY n.n_name""",
+    "join_full": """SELECT a.k AS ak, b.k AS bk FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 8) a FULL JOIN (SELECT r_regionkey + 5 AS k FROM region) b ON a.k = b.k""",
+    "semi_exists": """SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)""",
+    "anti_not_exists": """SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""",
+    "semi_in": """SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n.n_nationkey FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name = 'EUROPE')""",
+    "intersect": """SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier""",
+    "except": """SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region""",
+    "offset": """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5""",
+    "cte": """WITH big AS (SELECT o_custkey, COUNT(*) AS cnt FROM orders GROUP BY o_custkey) SELECT c.c_mktsegment, MAX(b.cnt) AS mx FROM big b, customer c WHERE b.o_custkey = c.c_custkey GROUP BY c.c_mktsegment""",
+    "window_rank": """SELECT q.o_orderkey, q.rnk FROM (SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rnk FROM orders) q WHERE q.rnk <= 3""",
     "tpch_q1": """SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_base, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, ROUND(AVG(l_discount), 6) AS avg_disc, COUNT(*) AS cnt FROM lineitem WHERE l_shipdate <= DATE '2000-09-01' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
     "tpch_q3": """SELECT l.l_orderkey, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c, orders o, lineitem l WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate < DATE '1998-03-15' AND l.l_shipdate > DATE '1998-03-15' GROUP BY l.l_orderkey ORDER BY revenue DESC, l.l_orderkey LIMIT 10""",
-    "tpch_q5": """SELECT n.n_name, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c, orders o, lineitem l, supplier s, nation n, region r WHERE c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey AND s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_name = 'ASIA' AND o.o_orderdate >= DATE '1996-01-01' AND o.o_orderdate < DATE '1997-01-01' GROUP BY n.n_name ORDER BY revenue DESC""",
+    "tpch_q5": """SELECT n.n_name, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM region r, nation n, supplier s, lineitem l, orders o, customer c WHERE c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey AND s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_name = 'ASIA' AND o.o_orderdate >= DATE '1996-01-01' AND o.o_orderdate < DATE '1997-01-01' GROUP BY n.n_name ORDER BY revenue DESC""",
     "tpch_q6": """SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '1996-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
     "tpch_q10": """SELECT c.c_custkey, c.c_name, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, n.n_name FROM customer c, orders o, lineitem l, nation n WHERE c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate >= DATE '1996-10-01' AND o.o_orderdate < DATE '1997-01-01' AND l.l_returnflag = 'R' AND c.c_nationkey = n.n_nationkey GROUP BY c.c_custkey, c.c_name, n.n_name ORDER BY revenue DESC, c.c_custkey LIMIT 20""",
 }

@@ -61,3 +61,32 @@ def test_filter_on_group_key_goes_below_the_aggregate(spark):
 
 def test_top_k_is_one_operator(spark):
     assert "TakeOrderedAndProject" in plan(entry.queries()["top_k"](spark, DATA))
+
+
+def test_bare_column_beside_groups_is_rejected(spark):
+    spark.sql("SELECT 1 AS a, 2 AS b").createOrReplaceTempView("bare")
+    with pytest.raises(Exception, match="MISSING_AGGREGATION|GROUP BY"):
+        spark.sql("SELECT a, b, count(*) AS n FROM bare GROUP BY a")
+
+
+def test_strings_are_compared_after_the_hash_aggregate(spark):
+    tree = plan(entry.queries()["agg_minmax_string_date"](spark, DATA)).split("\n\n")[0].split("\n")
+    scan = next(i for i, line in enumerate(tree) if "Scan parquet" in line)
+    below = "".join(tree[next(i for i in range(scan, 0, -1) if "Exchange" in tree[i]) : scan])
+    assert "HashAggregate" in below and "Sort" not in below
+
+
+def test_entry_works_without_a_library_of_the_operators(monkeypatch):
+    import importlib
+    import sys
+
+    kept = {n: sys.modules.pop(n) for n in list(sys.modules) if n.startswith("rowmill.llm") or n == "corpus_pipeline"}
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    try:
+        assert set(importlib.reload(entry).queries()) == set(CATALOGUE)
+    finally:
+        monkeypatch.undo()
+        for n in [n for n in sys.modules if n.startswith("rowmill.llm") or n == "corpus_pipeline"]:
+            del sys.modules[n]
+        sys.modules.update(kept)
+        importlib.reload(entry)

@@ -49,6 +49,54 @@ def test_mistyped_field_raises(spark, tmp_path):
         spark.table("t").collect()
 
 
+def test_surplus_fields_raise_and_unread_columns_are_not_parsed(spark, tmp_path):
+    (tmp_path / "T.dat").write_text("1|a|2.5|1994-01-01|junk|more\n")
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.register(DDL)
+    with pytest.raises(Exception, match="more than 4 fields"):
+        spark.sql("SELECT name FROM t").collect()
+    (tmp_path / "T.dat").write_text("1|a|x|1994-01-01\n\n2|b\n3|c|1.5||\n")
+    catalog.register(DDL)
+    assert [tuple(r) for r in spark.sql("SELECT id, name, d IS NULL FROM t ORDER BY id").collect()] == [(1, "a", False), (2, "b", True), (3, "c", True)]
+    with pytest.raises(Exception, match="(?i)malformed field of column price"):
+        spark.sql("SELECT price FROM t").collect()
+
+
+def test_load_lays_rows_out_so_that_every_index_column_prunes(spark, tmp_path):
+    import datetime
+    import random
+
+    import pyarrow.parquet as pq
+
+    from rowmill.sources.loader import load_table
+
+    rng = random.Random(1)
+    day = lambda n: (datetime.date(1992, 1, 1) + datetime.timedelta(n)).isoformat()
+    lines = [f"{i}|{day(rng.randrange(2_500))}|{rng.randrange(11) / 100}|{rng.randrange(1, 51)}|{rng.choice('ANR')}|{rng.choice(['AIR', 'FOB', 'MAIL', 'RAIL', 'SHIP', 'TRUCK'])}|" for i in range(60_000)]
+    (tmp_path / "LINEITEM.dat").write_text("\n".join(lines) + "\n")
+    catalog = Catalog(spark, str(tmp_path), str(tmp_path / "db"))
+    ddl = "CREATE TABLE LINEITEM (orderkey int, shipdate date, discount decimal, quantity decimal, returnflag char(1), shipmode char(10))"
+    load_table(spark, catalog.define(ddl), catalog.text_path("LINEITEM"), catalog.stored_path("LINEITEM"), **{"parquet.block.size": "8192", "parquet.page.size": "2048", "parquet.block.row.check.min": "100", "parquet.page.size.row.check.min": "100", "parquet.page.size.row.check.max": "100"})
+    ranges = {"shipdate": (datetime.date(1994, 1, 1), datetime.date(1994, 2, 1)), "discount": (0.02, 0.02), "quantity": (5.0, 7.0), "returnflag": ("R", "R"), "shipmode": ("MAIL", "MAIL")}
+    skipped, groups = dict.fromkeys(ranges, 0), 0
+    for file in (tmp_path / "db" / "LINEITEM.parquet").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            groups += 1
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                if column.path_in_schema in ranges:
+                    low, high = ranges[column.path_in_schema]
+                    skipped[column.path_in_schema] += column.statistics.max < low or column.statistics.min > high
+    assert groups > 30 and all(n > groups / 4 for n in skipped.values()), (groups, skipped)
+    catalog.register(ddl)
+    query = spark.sql("SELECT COUNT(*) AS n FROM lineitem WHERE shipdate >= DATE '1994-01-01' AND shipdate < DATE '1994-02-01' AND shipmode = 'MAIL'")
+    expected = sum("1994-01-01" <= x.split("|")[1] < "1994-02-01" and x.split("|")[5] == "MAIL" for x in lines)
+    assert query.first().n == expected
+    text = query._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(shipdate" in text
+
+
 def test_load_keeps_the_last_row_of_a_key_and_can_be_repeated(spark, folder):
     for _ in range(2):
         catalog = Catalog(spark, str(folder), str(folder / "db"))
