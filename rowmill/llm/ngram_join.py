@@ -9,7 +9,7 @@
    in a large table, where few tokens of a set fall into one range, as in a small one. A hot token would fill one range with its classes: its occurrences are
    dealt by class instead, and its frequency is the noted count.
 3. A class with n tokens links at least at overlap o = ceil(t n); one with more than n - o unshared tokens
-   links with nothing. For the others tokens stand in order of frequency, rare ones first.
+   links with nothing, and its tokens go no further. For the others tokens stand in order of frequency, rare ones first.
 4. Prefixes: of two linked classes the first shared token stands among the first n - o + 1 of both, and the first m + 1
    shared ones among the first n - o + m + 1. If the first is rare it is indexed alone. Else all are frequent; those are
    dealt into m hash classes, two of the m + 1 fall into one, and every pair of a hash class is indexed. m follows the size, so
@@ -160,8 +160,8 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
-    """For each set that is sent, ``number`` and ``class`` in one row, and in a row for each range its number, shared ``tokens``
-    (packed longs) and ``frequencies`` (packed, of two bytes: higher ones are equal). ``hot`` holds the sorted hot tokens and
+    """For each set that is sent, ``number`` and ``class`` in one row, and in a row for each range its number, how many shared
+    tokens it ``holds``, those ``tokens`` (packed longs) and ``frequencies`` (packed, of two bytes: higher ones are equal). ``hot`` holds the sorted hot tokens and
     their frequencies."""
     bits = ranges.bit_length() - 1
 
@@ -201,7 +201,7 @@ def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
             ids = [np.frombuffer(b, np.int64) for b in sent]
             numbers = np.concatenate([x[0] + np.arange(len(x) - 1) for x in ids])
             none = pa.nulls(len(numbers), pa.binary())
-            return pa.table({"number": pa.array(numbers), "class": pa.array(np.concatenate([x[1:] for x in ids])), "tokens": none, "frequencies": none})
+            return pa.table({"number": pa.array(numbers), "class": pa.array(np.concatenate([x[1:] for x in ids])), "holds": pa.nulls(len(numbers), pa.int32()), "tokens": none, "frequencies": none})
         if part < ranges:
             tokens, sets, frequency = _shared(sent, part, bits)
         else:
@@ -213,10 +213,10 @@ def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
         begins = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
         ends = np.append(begins, len(sets))
         lists = [pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (tokens, frequency)]
-        return pa.table({"number": pa.array(sets[begins]), "class": pa.nulls(len(begins), pa.int64()), "tokens": lists[0], "frequencies": lists[1]})
+        return pa.table({"number": pa.array(sets[begins]), "class": pa.nulls(len(begins), pa.int64()), "holds": pa.array(np.diff(ends).astype(np.int32)), "tokens": lists[0], "frequencies": lists[1]})
 
     packed = _bytes_of(docs).mapInArrow(send, "part int, blob binary")
-    return packed.groupBy("part").applyInArrow(reduce, "number long, class long, tokens binary, frequencies binary")
+    return packed.groupBy("part").applyInArrow(reduce, "number long, class long, holds int, tokens binary, frequencies binary")
 
 
 def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type) -> list[np.ndarray]:
@@ -428,13 +428,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     senders = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     senders = perhaps_among(senders, F.xxhash64("doc_id"), first, "h", classes.count(), "sends").filter("sends OR doc_id IS NULL")
     scanned = scratch(_scan(senders, words, blocks_for(tokens, RANGE_TOKENS, least=16), spark.sparkContext.broadcast(listed)))
-    # Of sets that were sent twice the first stands for the class.
-    names = scanned.filter("class IS NOT NULL").groupBy("class").agg(F.min("number").alias("number"))
-    names = names.join(classes.select("class", "n"), "class")
-    pieces = scanned.filter("class IS NULL").groupBy("number").agg(F.collect_list(F.struct("tokens", "frequencies")).alias("all"), F.sum(F.octet_length("tokens")).alias("bytes"))
-    shared = pieces.join(names, "number").filter(F.col("bytes") / 8 * 100 >= F.col("n") * percent)
-    sets = scratch(shared.select("class", "n", F.col("all")["tokens"].alias("tokens"), F.col("all")["frequencies"].alias("frequencies")))
-    forget(scanned)
+    # Of sets that were sent twice the first stands for the class. Sets with too few shared tokens to link are left out
+    # by their counts, before their tokens are brought together.
+    names = scanned.filter("class IS NOT NULL").groupBy("class").agg(F.min("number").alias("number")).join(classes.select("class", "n"), "class")
+    pieces = scanned.filter("class IS NULL")
+    held = pieces.groupBy("number").agg(F.sum("holds").alias("held"))
+    able = scratch(names.join(held, "number").filter(F.col("held") * 100 >= F.col("n") * percent).select("number", "class", "n"))
+    perhaps = perhaps_among(pieces, F.xxhash64("number"), able.select(F.xxhash64("number").alias("h")), "h", able.count(), "able").filter("able")
+    whole = perhaps.groupBy("number").agg(F.collect_list(F.struct("tokens", "frequencies")).alias("all")).join(able, "number")
+    sets = scratch(whole.select("class", "n", F.col("all")["tokens"].alias("tokens"), F.col("all")["frequencies"].alias("frequencies")))
+    forget(scanned, able)
 
     entries = scratch(_index(sets, percent))
     stars = entries.groupBy("entry").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
