@@ -6,7 +6,8 @@
 2. A second scan, over one document of a class (as far as a bitmap of bounded size tells), sends its tokens in packed blobs, by ranges of their hash, so that each range meets in one
    task, which counts in how many of the sent sets each token is. Tokens of one set only can't be shared, so they are dropped
    there and only counted. A set goes by a short number, its window's and its own, so that a token costs about as much
-   in a large table, where few tokens of a set fall into one range, as in a small one. A hot token would fill one range with its classes: its occurrences are
+   in a large table, where few tokens of a set fall into one range, as in a small one. The range says a token's high bits, so
+   only LOW_BYTES of it travel, here and in step 3; of hot tokens those alone tell them apart. A hot token would fill one range with its classes: its occurrences are
    dealt by class instead, and its frequency is the noted count.
 3. A class with n tokens links at least at overlap o = ceil(t n); one with more than n - o unshared tokens
    links with nothing, and its tokens go no further. For the others tokens stand in order of frequency, rare ones first.
@@ -34,6 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,11 @@ DENSE = 12
 SET_BITS, WINDOW_BITS = 20, 19
 #: Classes that one task remembers to have sent.
 REMEMBERED = 1 << 18
+#: Low bytes of a token that are sent; the range says its high bits. A range of RANGE_TOKENS tokens has about two pairs of
+#: different ones that agree in these, however many ranges there are.
+LOW_BYTES = 5
+#: Frequencies go as levels of one byte: as they are up to EXACT_LEVELS, above it STEPS levels for each doubling.
+EXACT_LEVELS, STEPS = 128, 8
 
 
 def _pack(first: int, sets: np.ndarray, counts: np.ndarray, tokens: np.ndarray, wide: int) -> bytes:
@@ -87,20 +94,25 @@ def _entries(blobs: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in parts]), np.concatenate([t for _, t in parts])
 
 
-def _shared(blobs: list[bytes], part: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, set number and frequency of every token that more than one set has, of range ``part`` of 2 ** ``bits``.
-
-    The range is the token's high bits. With up to 16 bits of range all 48 that were sent are below them, with more the
-    upper ones of the 48 say the same as the range."""
-    sets, tokens = _entries(blobs, 6)
+def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Low bytes of the token, set number and frequency of every token of a range that more than one set has."""
+    sets, tokens = _entries(blobs, LOW_BYTES)
     order = np.argsort(tokens)
     tokens = tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
     count = np.diff(np.append(starts, len(tokens)))
     several = np.repeat(count > 1, count)
-    below = np.uint64((1 << min(48, 64 - bits)) - 1)
-    whole = (tokens[several] & below) | np.uint64(part << (64 - bits))
-    return whole.view(np.int64), sets[order[several]], np.repeat(count[count > 1], count[count > 1])
+    return tokens[several], sets[order[several]], np.repeat(count[count > 1], count[count > 1])
+
+
+def _low(tokens: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
+
+
+def _levels(frequency: np.ndarray) -> np.ndarray:
+    """Levels of frequencies, in the same order; high ones may share a level."""
+    doublings = np.log2(np.maximum(frequency, EXACT_LEVELS) / EXACT_LEVELS)
+    return np.where(frequency < EXACT_LEVELS, frequency, np.minimum(EXACT_LEVELS + np.floor(STEPS * doublings), 255)).astype(np.uint8)
 
 
 def _held_windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch | None, list[int], list[int | None], list[np.ndarray], list[int]]]:
@@ -161,8 +173,8 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
 
 def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
     """For each set that is sent, ``number`` and ``class`` in one row, and in a row for each range its number, how many shared
-    tokens it ``holds``, those ``tokens`` (packed longs) and ``frequencies`` (packed, of two bytes: higher ones are equal). ``hot`` holds the sorted hot tokens and
-    their frequencies."""
+    tokens it ``holds``, their ``high`` bits, low bytes (``tokens``) and levels of frequency (``frequencies``). ``hot`` holds the sorted
+    hot tokens and their frequencies; a hot token has no high bits, since its pieces are not of one range."""
     bits = ranges.bit_length() - 1
 
     def blobs(held: list[np.ndarray], ids: list[int], first: int, known: np.ndarray) -> pa.RecordBatch:
@@ -181,7 +193,7 @@ def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
         for p, a, b in zip(parts, begins.tolist(), np.append(begins[1:], len(part)).tolist(), strict=True):
             own = owner[a:b]
             at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            packed.append(_pack(first, own[at], np.diff(np.append(at, len(own))), tokens[a:b], 6 if p < ranges else 3))
+            packed.append(_pack(first, own[at], np.diff(np.append(at, len(own))), tokens[a:b], LOW_BYTES if p < ranges else 3))
         # Last the classes of the window, in order of their numbers.
         parts.append(2 * ranges + (first >> SET_BITS) % ranges)
         packed.append(struct.pack("<q", first) + np.array(ids, np.int64).tobytes())
@@ -201,27 +213,49 @@ def _scan(docs: DataFrame, k: int, ranges: int, hot: Broadcast) -> DataFrame:
             ids = [np.frombuffer(b, np.int64) for b in sent]
             numbers = np.concatenate([x[0] + np.arange(len(x) - 1) for x in ids])
             none = pa.nulls(len(numbers), pa.binary())
-            return pa.table({"number": pa.array(numbers), "class": pa.array(np.concatenate([x[1:] for x in ids])), "holds": pa.nulls(len(numbers), pa.int32()), "tokens": none, "frequencies": none})
+            return pa.table({"number": pa.array(numbers), "class": pa.array(np.concatenate([x[1:] for x in ids])), "holds": pa.nulls(len(numbers), pa.int32()), "high": pa.nulls(len(numbers), pa.int64()), "tokens": none, "frequencies": none})
         if part < ranges:
-            tokens, sets, frequency = _shared(sent, part, bits)
+            tokens, sets, frequency = _shared(sent)
         else:
             sets, places = _entries(sent, 3)
             places = places.astype(np.int64)
-            tokens, frequency = hot.value[0][places].view(np.int64), hot.value[1][places]
+            tokens, frequency = hot.value[0][places], hot.value[1][places]
         order = np.argsort(sets, kind="stable")
-        sets, tokens, frequency = sets[order], tokens[order], np.minimum(frequency[order], (1 << 16) - 1).astype(np.uint16)
+        sets, low, level = sets[order], _low(tokens[order]), _levels(frequency[order])
+        high = np.array([part << (64 - bits) if part < ranges else 0], np.uint64).view(np.int64)
         begins = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1]))) if len(sets) else np.zeros(0, np.int64)
         ends = np.append(begins, len(sets))
-        lists = [pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (tokens, frequency)]
-        return pa.table({"number": pa.array(sets[begins]), "class": pa.nulls(len(begins), pa.int64()), "holds": pa.array(np.diff(ends).astype(np.int32)), "tokens": lists[0], "frequencies": lists[1]})
+        lists = [pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((ends * x.itemsize * (x.size // max(1, len(x)))).astype(np.int32)), pa.py_buffer(x.tobytes())]) for x in (low, level)]
+        return pa.table({"number": pa.array(sets[begins]), "class": pa.nulls(len(begins), pa.int64()), "holds": pa.array(np.diff(ends).astype(np.int32)), "high": pa.array(np.repeat(high, len(begins))), "tokens": lists[0], "frequencies": lists[1]})
 
     packed = _bytes_of(docs).mapInArrow(send, "part int, blob binary")
-    return packed.groupBy("part").applyInArrow(reduce, "number long, class long, holds int, tokens binary, frequencies binary")
+    return packed.groupBy("part").applyInArrow(reduce, "number long, class long, holds int, high long, tokens binary, frequencies binary")
+
+
+def _pieces(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of packed pieces: their numbers, ``width`` bytes each, as rows of bytes; how many each piece has; and where
+    those of each list end."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    pieces = column.flatten()
+    numbers = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8).reshape(-1, width)
+    counts = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) // width
+    ends = np.append(0, np.cumsum(counts))[np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]
+    return numbers, counts, ends
+
+
+def _levels_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """The levels of frequency of each row."""
+    numbers, _, ends = _pieces(column, 1)
+    return np.split(numbers.ravel(), ends)[:-1]
 
 
-def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type) -> list[np.ndarray]:
-    """The numbers of each row's list of packed pieces."""
-    return [np.frombuffer(b"".join(pieces), kind) for pieces in column.to_pylist()]
+def _tokens_of(high: pa.ChunkedArray | pa.Array, column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """The tokens of each row, from the high bits of its pieces and the low bytes in them."""
+    numbers, counts, ends = _pieces(column, LOW_BYTES)
+    high = (high.combine_chunks() if isinstance(high, pa.ChunkedArray) else high).flatten()
+    tokens = np.zeros((len(numbers), 8), np.uint8)
+    tokens[:, :LOW_BYTES] = numbers
+    return np.split(tokens.view(np.int64).ravel() | np.repeat(high.to_numpy(zero_copy_only=False), counts), ends)[:-1]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -256,14 +290,14 @@ def _index(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             entries, counts = [], []
-            for n, tokens, frequency in zip(batch.column(1).to_pylist(), _unpacked(batch.column(2), np.int64), _unpacked(batch.column(3), np.uint16), strict=True):
+            for n, tokens, frequency in zip(batch.column(1).to_pylist(), _tokens_of(batch.column(2), batch.column(3)), _levels_of(batch.column(4)), strict=True):
                 order = np.lexsort((tokens, frequency))
                 own = signatures(n, tokens[order], frequency[order], percent)
                 entries += own
                 counts.append(len(own))
             yield pa.RecordBatch.from_arrays([pa.array(entries, pa.int64()), pa.array(np.repeat(batch.column(0).to_numpy(), counts))], ["entry", "class"])
 
-    return sets.select("class", "n", "tokens", "frequencies").mapInArrow(run, "entry long, class long")
+    return sets.select("class", "n", "high", "tokens", "frequencies").mapInArrow(run, "entry long, class long")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -313,11 +347,11 @@ def _local_roots(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
 def _sorted_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], pa.Table]:
     """Classes, sizes and token sets of the rows in order of class."""
     rows = rows.combine_chunks().sort_by("class")
-    return rows.column("class").to_numpy(), rows.column("n").to_numpy(), _unpacked(rows.column("tokens"), np.int64), rows
+    return rows.column("class").to_numpy(), rows.column("n").to_numpy(), _tokens_of(rows.column("high"), rows.column("tokens")), rows
 
 
 def _verify_chunks(sets: DataFrame, percent: int) -> DataFrame:
-    """For each member of a chunk (columns cluster, chunk, pivot, class, n, tokens) the smallest class that it links with
+    """For each member of a chunk (columns cluster, chunk, pivot, class, n, high, tokens) the smallest class that it links with
     through the chunk and its pivots, and its Jaccard distances to those (``pivot`` numbers them, NULL for members)."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -340,7 +374,7 @@ def _verify_chunks(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links between the two chunks of each pair (columns x, y, chunk, class, n, tokens), as stars."""
+    """``a, b``: links between the two chunks of each pair (columns x, y, chunk, class, n, high, tokens), as stars."""
 
     def run(rows: pa.Table) -> pa.Table:
         ids, n, tokens, rows = _sorted_sets(rows)
@@ -395,8 +429,8 @@ def _across(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int
 
     placed = left_join_groups(rows, cells.select("cell", "chunks", "classes"), "cell", "classes", total, F.col("node"))
     placed = placed.select("node", F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).alias("chunk"))
-    placed = placed.join(sets, placed["node"] == sets["class"]).select("chunk", "class", "n", "tokens")
-    found = scratch(_verify_pairs(placed.join(wanted, "chunk").select("x", "y", "chunk", "class", "n", "tokens"), percent))
+    placed = placed.join(sets, placed["node"] == sets["class"]).select("chunk", "class", "n", "high", "tokens")
+    found = scratch(_verify_pairs(placed.join(wanted, "chunk").select("x", "y", "chunk", "class", "n", "high", "tokens"), percent))
     forget(open_, cells, rows, pairs)
     return found
 
@@ -435,8 +469,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     held = pieces.groupBy("number").agg(F.sum("holds").alias("held"))
     able = scratch(names.join(held, "number").filter(F.col("held") * 100 >= F.col("n") * percent).select("number", "class", "n"))
     perhaps = perhaps_among(pieces, F.xxhash64("number"), able.select(F.xxhash64("number").alias("h")), "h", able.count(), "able").filter("able")
-    whole = perhaps.groupBy("number").agg(F.collect_list(F.struct("tokens", "frequencies")).alias("all")).join(able, "number")
-    sets = scratch(whole.select("class", "n", F.col("all")["tokens"].alias("tokens"), F.col("all")["frequencies"].alias("frequencies")))
+    whole = perhaps.groupBy("number").agg(F.collect_list(F.struct("high", "tokens", "frequencies")).alias("all")).join(able, "number")
+    sets = scratch(whole.select("class", "n", F.col("all")["high"].alias("high"), F.col("all")["tokens"].alias("tokens"), F.col("all")["frequencies"].alias("frequencies")))
     forget(scanned, able)
 
     entries = scratch(_index(sets, percent))
@@ -468,9 +502,9 @@ def _linked(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Pivots: the node with the smallest hash of each residue class.
     hashed = F.xxhash64(F.lit(5), "node")
     pivots = placed.filter("chunks > 1").groupBy("cluster", "chunks", F.pmod(hashed, F.lit(PIVOTS)).cast("int").alias("pivot")).agg(F.min(F.struct(hashed.alias("h"), "node"))["node"].alias("node"))
-    member = member.join(sets, member["node"] == sets["class"]).select("cluster", "chunk", "pivot", "class", "n", "tokens")
+    member = member.join(sets, member["node"] == sets["class"]).select("cluster", "chunk", "pivot", "class", "n", "high", "tokens")
     pivots = pivots.join(sets, pivots["node"] == sets["class"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    verified = scratch(_verify_chunks(member.union(pivots.select("cluster", "chunk", "pivot", "class", "n", "tokens")), percent))
+    verified = scratch(_verify_chunks(member.union(pivots.select("cluster", "chunk", "pivot", "class", "n", "high", "tokens")), percent))
     first = verified.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     linked = scratch(components(first))
     more = _across(verified, linked, sets, percent)

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -712,13 +713,24 @@ def test_tokens_keep_their_identity_at_any_number_of_ranges(bits):
     part = int(tokens[-1] >> np.uint64(64 - bits))
     own = tokens[tokens >> np.uint64(64 - bits) == part]
     alone = own[:1] ^ np.uint64(1)
-    blobs = [ngram_join._pack(first, np.array(sets), np.array([len(own)] * len(sets)), np.concatenate([own] * len(sets)), 6) for first, sets in ((1 << 50, [3]), (0, [7, 300]))]
-    blobs.append(ngram_join._pack(1 << 20, np.array([70_000]), np.array([1]), alone, 6))
-    found, classes, frequency = ngram_join._shared(blobs, part, bits)
-    known = np.uint64((1 << 64) - 1) if bits >= 16 else np.uint64(((1 << bits) - 1) << (64 - bits) | (1 << 48) - 1)
-    assert sorted(found.view(np.uint64).tolist()) == sorted(np.repeat(own & known, 3).tolist())
+    wide = ngram_join.LOW_BYTES
+    blobs = [ngram_join._pack(first, np.array(sets), np.array([len(own)] * len(sets)), np.concatenate([own] * len(sets)), wide) for first, sets in ((1 << 50, [3]), (0, [7, 300]))]
+    blobs.append(ngram_join._pack(1 << 20, np.array([70_000]), np.array([1]), alone, wide))
+    found, classes, frequency = ngram_join._shared(blobs)
+    high = np.uint64(part << (64 - bits)).view(np.int64)
+    pieces = pa.array([[ngram_join._low(found).tobytes()], [ngram_join._low(own).tobytes(), ngram_join._low(own[:1]).tobytes()]])
+    first, second = (x.view(np.uint64).tolist() for x in ngram_join._tokens_of(pa.array([[high], [high, 0]]), pieces))
+    low = np.uint64((1 << 8 * wide) - 1)
+    whole = own if bits >= 64 - 8 * wide else (own & low) | np.uint64(part << (64 - bits))
+    assert sorted(first) == sorted(np.repeat(whole, 3).tolist()) and second == [*whole.tolist(), int(own[0] & low)]
     assert sorted(classes.tolist()) == sorted([(1 << 50) + 3, 7, 300] * len(own)) and set(frequency.tolist()) == {3}
-    assert ngram_join._unpack(blobs[2], 6)[0].tolist() == [(1 << 20) + 70_000]
+    assert ngram_join._unpack(blobs[2], wide)[0].tolist() == [(1 << 20) + 70_000]
+
+
+def test_levels_of_frequency_keep_their_order():
+    frequency = np.unique(np.concatenate([np.arange(2, 2_000), np.geomspace(2_000, 1e12, 500).astype(np.int64)]))
+    levels = ngram_join._levels(frequency).astype(int)
+    assert levels[:100].tolist() == frequency[:100].tolist() and (np.diff(levels) >= 0).all() and levels[-1] == 255
 
 
 def near_texts(seed, groups, size, words=60):
